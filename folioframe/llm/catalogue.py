@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .quality import op2_mcd_quality
+from .secrets import op8_secret_links
 from .sharding import op5_histogram_shards
 
-QUERIES = {f.__name__: f for f in (op5_histogram_shards,)}
+QUERIES = {f.__name__: f for f in (op2_mcd_quality, op5_histogram_shards, op8_secret_links)}
 ORACLE_SQL: dict[str, str] = {}
