@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .html_text import op9_template_text
 from .quality import op2_mcd_quality
 from .secrets import op8_secret_links
 from .sharding import op5_histogram_shards
+from .simhash import op7_simhash_components
 
-QUERIES = {f.__name__: f for f in (op2_mcd_quality, op5_histogram_shards, op8_secret_links)}
+QUERIES = {f.__name__: f for f in (op2_mcd_quality, op5_histogram_shards, op7_simhash_components, op8_secret_links, op9_template_text)}
 ORACLE_SQL: dict[str, str] = {}
