@@ -164,5 +164,23 @@ def redacted(text: str | None, reach: int = REACH) -> str | None:
     return "".join(out) + text[at:]
 
 
+def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """The same rows and columns with redacted texts; ``n_chars``, where there is one, counts the new text."""
+    columns = docs.columns
+    text_at = columns.index("text")
+    chars_at = columns.index("n_chars") if "n_chars" in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [redacted(text.as_py(), reach) for text in batch.column(text_at)]
+            arrays = list(batch.columns)
+            arrays[text_at] = pa.array(texts, batch.column(text_at).type)
+            if chars_at is not None:
+                arrays[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.column(chars_at).type)
+            yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
