@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -67,8 +68,18 @@ def looks_random(token: str) -> bool:
     return -sum(k / n * log2(k / n) for k in Counter(token).values()) >= 3.2
 
 
-def _overlaps(span: Span, others: list[Span]) -> bool:
-    return any(a < span[2] and span[0] < b for a, _, b in others)
+class Cover:
+    """Intervals by start, with the furthest end so far: whether any meets a given one is a binary search."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        spans = sorted(spans)
+        self.starts = [start for start, _, _ in spans]
+        self.reach = list(accumulate((end for _, _, end in spans), max))
+
+    def meets(self, low: int, high: int) -> bool:
+        """Whether an interval starts below ``high`` and ends above ``low``."""
+        n = bisect.bisect_left(self.starts, high)
+        return n > 0 and self.reach[n - 1] > low
 
 
 def weak_parts(text: str, base: list[Span]) -> list[Span]:
@@ -79,8 +90,10 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     if not (named or endpoints or any(kind == 1 for _, kind, _ in base)):
         return []
     found = endpoints + ([(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)] if named else [])
-    found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if looks_random(m[0]) and not _overlaps((m.start(), 4, m.end()), found)]
-    return [span for span in found if not _overlaps(span, base)]
+    told = Cover(found)
+    found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if looks_random(m[0]) and not told.meets(m.start(), m.end())]
+    strong = Cover(base)
+    return [span for span in found if not strong.meets(span[0], span[2])]
 
 
 def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
@@ -88,18 +101,17 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     weak = weak_parts(text, base)
     if not weak:
         return []
+    # no part holds a line feed, so none reaches into another scope
     ends = [m.start() for m in SCOPE_END.finditer(text)]
-    scope = lambda span: bisect.bisect_right(ends, span[0])
-    parts = sorted(base + weak)
-    starts = [span[0] for span in parts]
-    longest = max(end - start for start, _, end in parts)
+    secrets, names, endpoints = (Cover([span for span in base + weak if span[1] in kinds]) for kinds in ((0, 2, 4), (1, 3), (5,)))
     kept = []
     for span in weak:
-        low = bisect.bisect_left(starts, span[0] - reach - longest)
-        high = bisect.bisect_right(starts, span[2] + reach)
-        near = {k for a, k, b in parts[low:high] if b >= span[0] - reach and (a, k, b) != span and scope((a, k, b)) == scope(span)}
-        secret, who, where = bool(near & {0, 2, 4}), bool(near & {1, 3}), 5 in near
-        if {4: who or where, 3: secret, 5: who and secret}[span[1]]:
+        start, kind, end = span
+        scope = bisect.bisect_right(ends, start)
+        low = max(start - reach - 1, ends[scope - 1] if scope else -1)
+        high = min(end + reach + 1, ends[scope] if scope < len(ends) else len(text) + 1)
+        secret, who, where = (cover.meets(low, high) for cover in (secrets, names, endpoints))
+        if (kind == 4 and (who or where)) or (kind == 3 and secret) or (kind == 5 and who and secret):
             kept.append(span)
     return kept
 
