@@ -41,7 +41,7 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     text counts as no bytes and has the checksum of an empty text.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
-    frame = pick(docs, "doc_id", "text", *more)
+    frame = pick(docs, *dict.fromkeys(("doc_id", "text", *more)))
     return frame.select(
         "doc_id",
         *more,
