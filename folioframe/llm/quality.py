@@ -126,7 +126,7 @@ def _distance() -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def _moments(scale: Column | None = None) -> list[Column]:
+def _moments() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in PAIRS)]
 
 
@@ -180,7 +180,7 @@ def _starts(vectors: DataFrame) -> DataFrame:
         *(pick_f(i, F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(FLOORS[i]))).alias(f"d{i}") for i in range(P)),
     )
     centre = materialise(centre, "mcd-centre")
-    z = vectors.join(centre, "g").select("g", *(f"c{i}" for i in range(P)), *(f"d{i}" for i in range(P)), *(((F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)))
+    z = vectors.join(_small(centre), "g").select("g", *(f"c{i}" for i in range(P)), *(f"d{i}" for i in range(P)), *(((F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i in range(P)))
     norm = F.sqrt(sum((F.col(f"z{i}") ** 2 for i in range(P)), F.lit(1e-9)))
     made = [F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS]
     made += [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / norm / norm).alias(f"u{i}_{j}") for i, j in PAIRS]
@@ -205,9 +205,14 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return materialise(summed.mapInPandas(run, ESTIMATE_SCHEMA), "mcd-start")
 
 
+def _small(model: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The estimates, broadcast if there are few (some 200 bytes each): else each group's rows would meet in one task."""
+    return F.broadcast(model) if model.limit(rows + 1).count() <= rows else model
+
+
 def _concentrate(vectors: DataFrame, estimates: DataFrame, share: float, least: float | None = None) -> DataFrame:
     """Moments of the nearest vectors: ``share`` of each group, or all within the squared distance ``least``."""
-    joined = vectors.join(estimates.drop("n", "logdet"), "g").withColumn("d", _distance())
+    joined = vectors.join(_small(estimates.drop("n", "logdet")), "g").withColumn("d", _distance())
     if least is not None:
         return joined.filter(F.col("d") <= least).groupBy("g", "s").agg(*_moments())
     binned = joined.withColumn("bin", F.floor(BINS * F.log(F.col("d") + 1e-9))).groupBy("g", "s", "bin").agg(*_moments())
@@ -243,10 +248,10 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, least_vectors: i
     verdict, and an empty table gives no rows.
     """
     stats = materialise(base_statistics(docs), "quality-stats")
-    model = fit_mcd(stats, share, steps, least_vectors)
+    model = _small(materialise(fit_mcd(stats, share, steps, least_vectors), "mcd-model"))
     cutoff = chi_square_quantile(1 - alarm, P)
     kinds = [group_key(), *features()]
-    judged = stats.select("*", *kinds).join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance()))
+    judged = stats.select("*", *kinds).join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("m0").isNotNull(), _distance()))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
 
 
