@@ -160,6 +160,7 @@ class Model:
     tokens: int  # N
     vocabulary: int  # V
     bounds: np.ndarray  # first key of each range of bigrams but the first
+    filled: frozenset[int]  # the ranges that hold bigrams
     heavy: dict[int, np.ndarray]  # totals of the contexts that were cut
     word_bounds: np.ndarray
     discounts: np.ndarray  # of bigrams, for counts 0, 1, 2, 3 and more
@@ -183,7 +184,8 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         cuts = [0, *np.searchsorted(keys, self.bounds).tolist(), len(keys)]
         for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b and len(known := self._map(f"keys-{p}", "<i8")):
+            if a < b and p in self.filled:
+                known = self._map(f"keys-{p}", "<i8")
                 at = np.searchsorted(known, keys[a:b])
                 at[at == len(known)] = 0
                 out[a:b] = np.where(known[at] == keys[a:b], self._map(f"times-{p}", "<i8" if self.tokens >> 32 else "<u4")[at], 0)
@@ -195,7 +197,8 @@ class Model:
         ranges = np.searchsorted(self.bounds, numbers * (self.vocabulary + 1), "right")
         cuts = np.searchsorted(ranges, np.arange(len(self.bounds) + 2))
         for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if a < b and len(known := self._map(f"contexts-{p}", "<i8")):
+            if a < b and p in self.filled:
+                known = self._map(f"contexts-{p}", "<i8")
                 at = np.searchsorted(known, numbers[a:b])
                 at[at == len(known)] = 0
                 totals = self._map(f"totals-{p}", "<i8").reshape(-1, 4)
@@ -377,7 +380,7 @@ def _merge_bigrams(runs: DataFrame, uri: str, vocabulary: int, wide: bool, heavy
             totals = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (times, times == 1, times == 2, times >= 3)], axis=1)
             store.write(f"contexts-{p}", context[first].astype("<i8"))
             store.write(f"totals-{p}", totals.astype("<i8"))
-            rows = [("counts", 0, [int((times == i).sum()) for i in (1, 2, 3, 4)], None, None)]
+            rows = [("counts", p, [int((times == i).sum()) for i in (1, 2, 3, 4)], None, None)]
             rows += [("heavy", int(context[first[i]]), totals[i].tolist(), None, None) for i in np.flatnonzero(np.isin(context[first], heavy))]
             seen, n = np.unique(word, return_counts=True)
             cuts = [0, *np.searchsorted(seen, word_bounds).tolist(), len(seen)]
@@ -429,14 +432,16 @@ def train(docs: DataFrame, range_tokens: int = RANGE, part_words: int = PART) ->
         edges |= {h * (vocabulary + 1) + cross[len(cross) * i // pieces] for i in range(1, pieces) if cross}
     bounds = np.array(sorted(edges) if vocabulary else [], np.int64)
     if not vocabulary:
-        return Model(words, 0, 0, bounds, {}, word_bounds, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0)
+        return Model(words, 0, 0, bounds, frozenset(), {}, word_bounds, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0)
     runs = _count_bigrams(rows, words, vocabulary, bounds)
     merged = _merge_bigrams(runs, uri, vocabulary, bool(tokens >> 32), sorted(heavy), word_bounds, max(1, len(bounds) + 1))
     of = np.zeros(4, np.int64)
     cut: dict[int, np.ndarray] = {}
+    filled = set()
     for row in merged.filter("kind <> 'seen'").select("kind", "at", "numbers").toLocalIterator():
         if row.kind == "counts":
             of += np.array(row.numbers)
+            filled.add(row["at"])
         else:
             cut[row["at"]] = cut.get(row["at"], 0) + np.array(row.numbers)
     sums = _sum_continuations(merged, uri, vocabulary, word_bounds)
@@ -444,7 +449,7 @@ def train(docs: DataFrame, range_tokens: int = RANGE, part_words: int = PART) ->
     n1, n2, n3, n4, more = np.sum([r.counts for r in sums], axis=0).tolist()
     lower = discounts(n1, n2, n3, n4)
     rest = float(lower[1] * n1 + lower[2] * n2 + lower[3] * more) / total
-    return Model(words, tokens, vocabulary, bounds, cut, word_bounds, discounts(*of.tolist()), lower, total, rest)
+    return Model(words, tokens, vocabulary, bounds, frozenset(filled), cut, word_bounds, discounts(*of.tolist()), lower, total, rest)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
