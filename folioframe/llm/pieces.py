@@ -47,7 +47,7 @@ LITERAL = "\ud800"  # stands for a U+2581 of the text itself, which is not a spa
 CELL = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 SHORT = 48  # longest cell computed together with others
 SCALE = 2.0  # log weight given back for each character, so that sums stay in range
-CHUNK = 2_000_000  # characters worked on together
+CHUNK = 3_000_000  # characters worked on together
 U = np.uint64
 
 
@@ -261,7 +261,7 @@ class Lattice:
         self.edge_piece = np.concatenate(edge_piece).astype(np.int64)
         self.edge_step = np.concatenate(edge_step)
         self.share = np.concatenate(edge_weight)
-        self.start = np.searchsorted(node, np.arange(nodes + 1))
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(node, minlength=nodes))))
 
     def _byte_pieces(self, codes: np.ndarray) -> np.ndarray:
         """The byte piece of each character; those of several bytes are noted, as -1 - their place in the notes."""
@@ -329,12 +329,13 @@ class Lattice:
             at = at[(rest[at] > 0) & (edge[at] < last[at])]
         return edge
 
-    def walk(self, cell: np.ndarray, left: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def walk(self, cell: np.ndarray, left: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
         """Draw paths through all given cells, from ``left`` characters on.
 
-        Returns, in order, the place in ``cell`` and node of each step and its edge.
+        Returns, in order, the place in ``cell`` of each step, its node, its
+        edge and the characters left before it.
         """
-        places, nodes, edges, steps = [], [], [], []
+        places, nodes, edges, lefts, steps = [], [], [], [], []
         at = np.flatnonzero(left > 0)
         left = left[at].astype(np.int64)
         cells, keys = cell[at], key[at]
@@ -345,6 +346,7 @@ class Lattice:
             places.append(at)
             nodes.append(node)
             edges.append(edge)
+            lefts.append(left)
             steps.append(count[at])
             count[at] += 1
             left = left - self.edge_step[edge]
@@ -352,10 +354,10 @@ class Lattice:
             at, left, cells, keys = at[more], left[more], cells[more], keys[more]
         offset = np.cumsum(count) - count
         total = int(count.sum())
-        out = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total, np.int64)
-        for p, n, e, s in zip(places, nodes, edges, steps, strict=True):
+        out = tuple(np.empty(total, np.int64) for _ in range(4))
+        for p, n, e, r, s in zip(places, nodes, edges, lefts, steps, strict=True):
             slot = offset[p] + s
-            out[0][slot], out[1][slot], out[2][slot] = p, n, e
+            out[0][slot], out[1][slot], out[2][slot], out[3][slot] = p, n, e, r
         return out
 
 
@@ -417,12 +419,12 @@ class Sampler:
         self.below = np.concatenate(([0.0], np.cumsum(lat.share)))
         top = -np.log(-np.log(uniform(mixed(self.seeds ^ U(0x5851F42D4C957F2D)))))
         live = np.arange(n)
-        place, node, edge = lat.walk(self.cell, lat.lengths[self.cell], self._keys(0, np.arange(len(self.cell)), 0))
+        place, node, edge, left = lat.walk(self.cell, lat.lengths[self.cell], self._keys(0, np.arange(len(self.cell)), 0))
         doc = self.doc[place]
         sizes = np.bincount(doc, minlength=n)
         starts = np.cumsum(sizes) - sizes
         before, end = self._cumulated(log_share[edge], starts, sizes)
-        rest = self._values(0, doc, place, self._left(place, node), before, 1.0 - lat.share[edge], top)
+        rest = self._values(0, doc, place, left, before, 1.0 - lat.share[edge], top)
         frontier = [Paths(doc, place, node, edge, before, rest, None)]
         full = np.split(edge, starts[1:]) if n else []
         for rank in range(self.samples):
@@ -487,7 +489,8 @@ class Sampler:
         taken.sort(axis=1)
         at_mass = 1.0 - np.where(taken >= 0, lat.share[taken], 0.0).sum(axis=1)
         # a point of the open mass, moved past the taken edges that lie before it
-        point = uniform(mixed(self._keys(rank, at_place, 2) ^ self._left(at_place, at_node).astype(U))) * at_mass
+        at_left = self._left(at_place, at_node)
+        point = uniform(mixed(self._keys(rank, at_place, 2) ^ at_left.astype(U))) * at_mass
         for column in range(rank):
             edge = taken[:, column]
             ahead = np.where(edge >= 0, self.below[edge] - self.below[lat.start[at_node]], np.inf)
@@ -498,12 +501,12 @@ class Sampler:
         at_mass -= lat.share[at_edge]
         taken_now = [tuple(sorted([e for e in row if e >= 0] + [new])) for row, new in zip(taken.tolist(), at_edge.tolist(), strict=True)]
         # what is left of the cell at the branch, then the cells after it
-        left = self._left(at_place, at_node) - lat.edge_step[at_edge]
+        left = at_left - lat.edge_step[at_edge]
         counts = self.first[live] + self.n_cells[live] - at_place
         places = np.repeat(at_place - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
         remaining = lat.lengths[self.cell[places]].copy()
         remaining[np.cumsum(counts) - counts] = left
-        where, node, edge = lat.walk(self.cell[places], remaining, self._keys(rank, places, 0))
+        where, node, edge, still = lat.walk(self.cell[places], remaining, self._keys(rank, places, 0))
         place = places[where]
         owner = np.repeat(np.arange(n), counts)[where]
         # the branching step goes before the drawn ones
@@ -512,16 +515,16 @@ class Sampler:
         heads = np.cumsum(sizes + 1) - (sizes + 1)
         total = len(owner) + n
         joined = []
-        for head, tail in ((at_place, place), (at_node, node), (at_edge, edge)):
+        for head, tail in ((at_place, place), (at_node, node), (at_edge, edge), (at_left, still)):
             both = np.empty(total, np.int64)
             both[heads], both[slots] = head, tail
             joined.append(both)
-        place, node, edge = joined
+        place, node, edge, still = joined
         owner = np.repeat(np.arange(n), sizes + 1)
         before, end = self._cumulated(log_share[edge], heads, sizes + 1, at_before)
         mass = 1.0 - lat.share[edge]
         mass[heads] = at_mass
-        rest = self._values(rank, live[owner], place, self._left(place, node), before, mass, top)
+        rest = self._values(rank, live[owner], place, still, before, mass, top)
         new = Paths(live[owner], place, node, edge, before, rest, None)
         new.taken = dict(zip(heads.tolist(), taken_now, strict=True))
         new.origin = {int(d): tuple(best[d]) for d in live}

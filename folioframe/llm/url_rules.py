@@ -25,6 +25,8 @@ RULES = (
     ("org", "/es/", "block"),
 )
 BAD = "label:bad"
+#: Most blocked token sets to broadcast, some 100 bytes each; beyond it pages are shuffled by set.
+BROADCAST_SETS = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -96,6 +98,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str,
     matched = posted.join(index, "token").filter(F.size(F.array_except("needs", "items")) == 0)
     blocked = matched.groupBy("set_id").agg(F.array_sort(F.collect_set("rule_id")).alias("mined"))
     rule, verdict = stated(rules)
+    blocked = materialise(blocked, "url-blocked")
+    if blocked.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        blocked = F.broadcast(blocked)  # else the pages of one common token set meet in a task
     judged = urls.withColumn("set_id", F.xxhash64("items")).join(blocked, "set_id", "left")
     by_method = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return judged.select("page_id", "url", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), "mined")
