@@ -47,7 +47,7 @@ LITERAL = "\ud800"  # stands for a U+2581 of the text itself, which is not a spa
 CELL = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 SHORT = 48  # longest cell computed together with others
 SCALE = 2.0  # log weight given back for each character, so that sums stay in range
-CHUNK = 3_000_000  # characters worked on together
+CHUNK = 1_200_000  # characters worked on together; some 150 MB of arrays
 U = np.uint64
 
 
