@@ -1,0 +1,394 @@
+"""A small PDF reader in plain Python: unencrypted files with simple fonts.
+
+No PDF library is at hand, so this reads what such files need: objects,
+Flate streams, object streams, the page tree and text operators. Files
+beyond it become refusals, never guesses. One bad page refuses that page only.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..functions import lexicon as X
+
+OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+TOKEN = re.compile(rb"\s*(?:(\()|(<<|>>|<(?!<)[0-9A-Fa-f\s]*>)|(/[^\s()<>\[\]{}/%]*)|([\[\]])|([+-]?(?:\d+\.?\d*|\.\d+))|([A-Za-z'\"*]+[0-9]*)|(%[^\r\n]*))")
+PIECES = "doc_id string, page int, ord int, str string, x double, y double, width double, font_size double, angle double"
+PAGES = "doc_id string, page int, image_count int, drawing_count int, code string"
+# Operators that draw shapes.
+DRAWING = frozenset(("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "sh"))
+ESCAPES = {ord("n"): b"\n", ord("r"): b"\r", ord("t"): b"\t", ord("b"): b"\b", ord("f"): b"\f"}
+
+
+class Damaged(Exception):
+    """The file or page can't be read; carries the refusal code."""
+
+
+@dataclass
+class Ref:
+    number: int
+
+
+@dataclass
+class Stream:
+    entries: dict
+    data: bytes
+
+
+@dataclass
+class Page:
+    pieces: list[tuple] = field(default_factory=list)
+    images: int = 0
+    drawings: int = 0
+
+
+def literal(data: bytes, at: int) -> tuple[bytes, int]:
+    """A string in parentheses from just behind the opening one."""
+    out, depth = bytearray(), 1
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if c == 0x5C and at < len(data):
+            e = data[at]
+            at += 1
+            octal = re.compile(rb"[0-7]{1,3}").match(data, at - 1)
+            if octal:
+                out.append(int(octal[0], 8) & 255)
+                at = octal.end()
+            elif e == 0x0D and data[at : at + 1] == b"\n":
+                at += 1
+            elif e not in (0x0A, 0x0D):
+                out += ESCAPES.get(e, bytes([e]))
+            continue
+        depth += (c == 0x28) - (c == 0x29)
+        if not depth:
+            break
+        out.append(c)
+    return bytes(out), at
+
+
+def tokens(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
+    """Numbers, names (str), strings (bytes), marks and operators (a 1-tuple), each with the place behind it."""
+    while found := TOKEN.match(data, at):
+        at = found.end()
+        if found[1]:
+            text, at = literal(data, at)
+            yield text, at
+        elif found[2]:
+            if found[2] in (b"<<", b">>"):
+                yield (found[2].decode(),), at
+            else:
+                digits = re.sub(rb"\s", b"", found[2][1:-1])
+                yield bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), at
+        elif found[3]:
+            yield "/" + re.sub(r"#([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16)), found[3][1:].decode("latin-1")), at
+        elif found[4]:
+            yield (found[4].decode(),), at
+        elif found[5]:
+            yield (float(found[5]) if b"." in found[5] else int(found[5])), at
+        elif found[6]:
+            yield (found[6].decode(),), at
+
+
+def value(data: bytes, at: int) -> tuple[object, int]:
+    """The object that begins at a place, and the place behind it."""
+    stack: list[list] = [[]]
+    for token, end in tokens(data, at):
+        if token in (("[",), ("<<",)):
+            stack.append([token[0]])
+        elif token in (("]",), (">>",)):
+            own = stack.pop()
+            if not stack:
+                raise Damaged("CORRUPT_FILE")
+            stack[-1].append(own[1:] if own[0] == "[" else {own[i][1:]: own[i + 1] for i in range(1, len(own) - 1, 2) if isinstance(own[i], str)})
+        elif token == ("R",) and len(stack[-1]) > 1 and isinstance(stack[-1][-2], int):
+            number = stack[-1][-2]
+            del stack[-1][-2:]
+            stack[-1].append(Ref(number))
+        elif isinstance(token, tuple) and token[0] in ("true", "false", "null"):
+            stack[-1].append({"true": True, "false": False}.get(token[0]))
+        elif isinstance(token, tuple):
+            return (stack[0][0] if stack[0] else None), end
+        else:
+            stack[-1].append(token)
+        if len(stack) == 1 and stack[0] and not isinstance(stack[0][0], int):
+            return stack[0][0], end
+    return (stack[0][0] if stack[0] else None), len(data)
+
+
+class File:
+    """The objects of a file, by number; the last definition of a number holds."""
+
+    def __init__(self, data: bytes) -> None:
+        if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<", data):
+            raise Damaged("ENCRYPTED")
+        self.data = data
+        self.places = {int(m[1]): m.end() for m in OBJECT.finditer(data)}
+        self.inner: dict[int, object] = {}
+        self.known: dict[int, object] = {}
+        for number in list(self.places):
+            try:
+                found = self.get(Ref(number))
+            except (Damaged, ValueError, IndexError, RecursionError):
+                continue
+            if isinstance(found, Stream) and found.entries.get("Type") == "/ObjStm":
+                self._unpack(found)
+
+    def _unpack(self, stream: Stream) -> None:
+        data = self.decoded(stream)
+        n, first = self.get(stream.entries.get("N")), self.get(stream.entries.get("First"))
+        heads = [t for t, _ in zip((t for t, _ in tokens(data)), range(2 * n), strict=False)]
+        for number, offset in zip(heads[::2], heads[1::2], strict=False):
+            self.inner[number] = value(data, first + offset)[0]
+
+    def get(self, item: object) -> object:
+        """The object itself, where it is a reference."""
+        for _ in range(20):
+            if not isinstance(item, Ref):
+                return item
+            if item.number in self.known:
+                item = self.known[item.number]
+            elif item.number in self.places:
+                item = self.known[item.number] = self._load(self.places[item.number])
+            else:
+                item = self.inner.get(item.number)
+        raise Damaged("CORRUPT_FILE")
+
+    def _load(self, at: int) -> object:
+        found, end = value(self.data, at)
+        if isinstance(found, dict) and (mark := re.compile(rb"\s*stream\r?\n").match(self.data, end)):
+            length = found.get("Length")
+            length = self._load(self.places[length.number]) if isinstance(length, Ref) and length.number in self.places else length
+            stop = mark.end() + length if isinstance(length, int) else -1
+            if stop < 0 or not re.compile(rb"\s*endstream").match(self.data, stop):
+                stop = self.data.find(b"endstream", mark.end())
+            return Stream(found, self.data[mark.end() : stop if stop >= 0 else len(self.data)])
+        return found
+
+    def decoded(self, stream: Stream) -> bytes:
+        filters = self.get(stream.entries.get("Filter"))
+        data = stream.data
+        for name in filters if isinstance(filters, list) else [filters] if filters else []:
+            if self.get(name) != "/FlateDecode":
+                raise Damaged("PAGE_LOAD_FAILED")
+            data = zlib.decompressobj().decompress(data)
+        parms = self.get(stream.entries.get("DecodeParms")) or {}
+        return unpredicted(data, int(self.get(parms.get("Columns")) or 1)) if isinstance(parms, dict) and (self.get(parms.get("Predictor")) or 1) >= 10 else data
+
+    def pages(self) -> list[dict]:
+        """Page dictionaries in order, with inherited resources and boxes."""
+        root = next((o for o in map(self.get, map(Ref, [*self.places, *self.inner])) if isinstance(o, dict) and o.get("Type") == "/Catalog"), None)
+        if root is None:
+            raise Damaged("CORRUPT_FILE")
+        out, todo, seen = [], [(root.get("Pages"), {})], set()
+        while todo:
+            item, above = todo.pop()
+            if isinstance(item, Ref):
+                if item.number in seen:
+                    continue
+                seen.add(item.number)
+            node = self.get(item)
+            if not isinstance(node, dict):
+                out.append({"Broken": True})
+                continue
+            own = above | {k: v for k, v in node.items() if k in ("Resources", "MediaBox", "Rotate")}
+            kids = self.get(node.get("Kids"))
+            if isinstance(kids, list):
+                todo += [(kid, own) for kid in reversed(kids)]
+            else:
+                out.append(own | node)
+        if not out:
+            raise Damaged("CORRUPT_FILE")
+        return out
+
+
+def unpredicted(data: bytes, columns: int) -> bytes:
+    """PNG row prediction undone (None, Sub and Up rows)."""
+    out, before = bytearray(), bytes(columns)
+    for at in range(0, len(data), columns + 1):
+        kind, row = data[at], bytearray(data[at + 1 : at + 1 + columns])
+        for i in range(len(row)):
+            row[i] = (row[i] + (before[i] if kind == 2 else row[i - 1] if kind == 1 and i else 0)) & 255
+        out += row
+        before = bytes(row)
+    return bytes(out)
+
+
+def times(a: tuple, b: tuple) -> tuple:
+    return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
+
+
+class Font:
+    """Characters and widths of a simple font; a font with a ToUnicode map reads through it."""
+
+    def __init__(self, file: File, entries: dict) -> None:
+        self.two_bytes = entries.get("Subtype") == "/Type0"
+        self.map: dict[int, str] = {}
+        unicode = file.get(entries.get("ToUnicode"))
+        if isinstance(unicode, Stream):
+            text = file.decoded(unicode).decode("latin-1")
+            for block in re.findall(r"beginbfchar(.*?)endbfchar", text, re.DOTALL):
+                for a, b in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                    self.map[int(a, 16)] = bytes.fromhex(b).decode("utf-16-be", "replace")
+            for block in re.findall(r"beginbfrange(.*?)endbfrange", text, re.DOTALL):
+                for a, b, c in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                    for code in range(int(a, 16), min(int(b, 16), int(a, 16) + 65535) + 1):
+                        self.map[code] = chr(int(c, 16) + code - int(a, 16))
+        elif self.two_bytes:
+            raise Damaged("PAGE_LOAD_FAILED")
+        first, widths = file.get(entries.get("FirstChar")) or 0, file.get(entries.get("Widths")) or []
+        self.widths = {first + i: file.get(w) for i, w in enumerate(widths)}
+
+    def read(self, raw: bytes) -> tuple[str, float, int]:
+        """Text, width in thousandths of the size, and number of characters."""
+        codes = [int.from_bytes(raw[i : i + 2], "big") for i in range(0, len(raw) - 1, 2)] if self.two_bytes else list(raw)
+        text = "".join(self.map.get(c) or (bytes([c]).decode("cp1252", "replace") if c < 256 else "�") for c in codes)
+        return text, sum(float(self.widths.get(c) or 500) for c in codes), len(codes)
+
+
+def read_page(file: File, page: dict) -> Page:
+    """The drawn texts of a page with their places from the top left, and how many images and shapes it has."""
+    if page.get("Broken"):
+        raise Damaged("PAGE_LOAD_FAILED")
+    box = [float(file.get(v)) for v in file.get(page.get("MediaBox")) or [0, 0, 612, 792]]
+    resources = file.get(page.get("Resources")) or {}
+    contents = file.get(page.get("Contents"))
+    parts = [file.get(c) for c in (contents if isinstance(contents, list) else [contents])]
+    data = b"\n".join(file.decoded(p) for p in parts if isinstance(p, Stream))
+    out = Page()
+    flip = (1, 0, 0, -1, -box[0], box[3])
+    matrix, saved = (1, 0, 0, 1, 0, 0), []
+    text = line = (1, 0, 0, 1, 0, 0)
+    fonts: dict[str, Font] = {}
+    font, size, leading, spacing, word, scale = None, 1.0, 0.0, 0.0, 0.0, 1.0
+    args: list = []
+
+    def show(raw: bytes) -> None:
+        nonlocal text
+        if font is None:
+            raise Damaged("PAGE_LOAD_FAILED")
+        said, width, n = font.read(raw)
+        across = (width / 1000 * size + n * spacing + said.count(" ") * word) * scale
+        place = times(times(text, matrix), flip)
+        height = math.hypot(*times(text, matrix)[2:4]) * abs(size)
+        if said.strip():
+            stretch = math.hypot(place[0], place[1])
+            out.pieces.append((len(out.pieces), said, place[4], place[5], across * stretch, height or 10.0, math.degrees(math.atan2(place[1], place[0]))))
+        text = times((1, 0, 0, 1, across, 0), text)
+
+    def move(x: float, y: float) -> None:
+        nonlocal text, line
+        text = line = times((1, 0, 0, 1, x, y), line)
+
+    for token, _ in tokens(data):
+        if not isinstance(token, tuple) or token[0] in ("[", "]", "<<", ">>"):
+            args.append(token)
+            continue
+        op, given = token[0], [a for a in args if not isinstance(a, tuple)]
+        args = []
+        if op == "q":
+            saved.append(matrix)
+        elif op == "Q" and saved:
+            matrix = saved.pop()
+        elif op == "cm":
+            matrix = times(tuple(given[-6:]), matrix)
+        elif op == "BT":
+            text = line = (1, 0, 0, 1, 0, 0)
+        elif op == "Tf":
+            name, size = given[-2][1:], float(given[-1])
+            if name not in fonts:
+                fonts[name] = Font(file, file.get((file.get(resources.get("Font")) or {}).get(name)) or {})
+            font = fonts[name]
+        elif op == "Td":
+            move(*given[-2:])
+        elif op == "TD":
+            leading = -given[-1]
+            move(*given[-2:])
+        elif op == "Tm":
+            text = line = tuple(given[-6:])
+        elif op == "T*":
+            move(0, -leading)
+        elif op == "TL":
+            leading = given[-1]
+        elif op == "Tc":
+            spacing = given[-1]
+        elif op == "Tw":
+            word = given[-1]
+        elif op == "Tz":
+            scale = given[-1] / 100
+        elif op == "Tj":
+            show(given[-1])
+        elif op in ("'", '"'):
+            move(0, -leading)
+            show(given[-1])
+        elif op == "TJ":
+            whole = b""
+            for item in given:
+                if isinstance(item, bytes):
+                    whole += item
+                elif item < -200 and whole:  # a gap that parts words
+                    show(whole)
+                    whole = b""
+                    text = times((1, 0, 0, 1, -item / 1000 * size * scale, 0), text)
+            if whole:
+                show(whole)
+        elif op == "Do":
+            inner = file.get((file.get(resources.get("XObject")) or {}).get(given[-1][1:]))
+            out.images += isinstance(inner, Stream) and inner.entries.get("Subtype") == "/Image"
+        elif op in DRAWING:
+            out.drawings += 1
+    return out
+
+
+def open_file(data: bytes) -> tuple[File, list[dict]]:
+    file = File(data)
+    pages = file.pages()
+    if len(pages) > X.MAX_PAGES:
+        raise Damaged("TOO_MANY_PAGES")
+    return file, pages
+
+
+def read_files(uploads: DataFrame, what: str) -> DataFrame:
+    """``pieces`` or ``pages`` of accepted uploads (path, content); a refused file is one page row with number 0 and its code."""
+    schema = PIECES if what == "pieces" else PAGES
+
+    def rows_of(path: str, content: bytes) -> Iterator[tuple]:
+        try:
+            file, pages = open_file(content)
+        except Damaged as e:
+            if what == "pages":
+                yield (path, 0, 0, 0, str(e))
+            return
+        except (ValueError, IndexError, KeyError, TypeError, AttributeError, zlib.error):
+            if what == "pages":
+                yield (path, 0, 0, 0, "CORRUPT_FILE")
+            return
+        for number, entries in enumerate(pages, 1):
+            try:
+                page = read_page(file, entries)
+            except (Damaged, ValueError, IndexError, KeyError, TypeError, AttributeError, zlib.error):
+                if what == "pages":
+                    yield (path, number, 0, 0, "PAGE_LOAD_FAILED")
+                continue
+            if what == "pages":
+                yield (path, number, page.images, page.drawings, None)
+            else:
+                yield from ((path, number, *piece) for piece in page.pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+        fields = [(f.split()[0], kinds[f.split()[1]]) for f in schema.split(", ")]
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows = list(rows_of(path, content.as_py()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return uploads.select("path", "content").mapInArrow(run, schema)
