@@ -13,13 +13,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as X
-from .text import CODES, let, stripped
+from .text import CODES, LONGEST_NUMBER, let, stripped
 
 ALL = (1 << len(X.CONVENTIONS)) - 1
 SPACES = ("\u00a0\u202f\u2009", "   ")
 PER_UNIT = r"(?U)\s*/\s*([\p{L}.]+)\s*$"
 MARK_FIRST = rf"(?U)^([A-Z]{{1,2}}\p{{Sc}}|\p{{Sc}}|(?:{CODES})(?=[\s0-9]))\s*"
 MARK_LAST = rf"(?U)\s*([A-Z]{{1,2}}\p{{Sc}}|\p{{Sc}}|(?<=[0-9\s])(?:{CODES}))$"
+# most cells: a number with at most a currency sign before it, and words without capitals inside, among them plain numbers
+SIMPLE = r"^(\p{Sc})?([0-9]+(?:[.,][0-9]+)*)$"
+WORDY = r"^\p{L}?\p{Ll}+(?: (?:\p{L}?\p{Ll}+|[0-9]+))*$"
+#: Shapes of a core that need no trial of each convention, with the conventions that they fit.
+SHAPES = ((r"^[0-9]+$", (1 << len(X.CONVENTIONS)) - 1), (r"^[0-9]+\.(?:[0-9]{1,2}|[0-9]{4,})$", 0b1111), (r"^[1-9][0-9]{0,2}(?:,[0-9]{3})+\.[0-9]+$", 0b1))
 CORE = r"^[0-9](?:[0-9.,' ]*[0-9])?$"
 
 
@@ -87,7 +92,12 @@ def analyse(text: Column, joins: Column | None = None) -> Column:
             F.coalesce((first >= 0) & F.exists(joins, lambda o: (o > first) & (o < first + F.length(whole) - 1)), F.lit(False)).alias("space_at_join"),
         )
 
-    return let(stripped(F.translate(text, *SPACES)), outer)
+    def quick(t: Column) -> Column:
+        plain = lambda core, marker: F.struct(core.alias("core"), marker.alias("marker"), F.lit(False).alias("percent"), F.lit(None).cast("string").alias("per"), F.lit(False).alias("negative"), F.lit(False).alias("space_at_join"))
+        none = F.lit(None).cast("string")
+        return F.when(F.length(t) > LONGEST_NUMBER, plain(none, none)).when(t.rlike(SIMPLE), plain(F.regexp_extract(t, SIMPLE, 2), F.nullif(F.regexp_extract(t, SIMPLE, 1), F.lit("")))).when(t.rlike(WORDY), plain(none, none)).otherwise(outer(t))
+
+    return let(stripped(F.translate(text, *SPACES)), quick)
 
 
 def _pattern(decimal: str, grouping: str) -> str:
@@ -105,9 +115,12 @@ def valid_mask(parts: Column) -> Column:
             if grouping == " ":
                 good = good & ~parts["space_at_join"]
             total = total + F.when(good, 1 << k).otherwise(0)
-        return total
+        known = F.when(core.isNull(), 0)
+        for pattern, fits in SHAPES:
+            known = known.when(core.rlike(pattern), fits)
+        return known.otherwise(total)
 
-    return F.coalesce(let(F.translate(parts["core"], *SPACES), mask), F.lit(0))
+    return let(F.translate(parts["core"], *SPACES), mask)
 
 
 def read(parts: Column, mask: Column) -> Column:
@@ -146,7 +159,22 @@ def read(parts: Column, mask: Column) -> Column:
             sign(other["value"]).alias("other"),
         )
 
-    return let(F.coalesce(readings(F.translate(F.coalesce(parts["core"], F.lit("")), *SPACES)), F.array()), decide)
+    def one(core: Column, fits: int) -> Column:
+        """The reading of a core that has one value under each convention that it fits."""
+        allowed = mask.bitwiseAND(F.lit(fits)) != 0
+        fraction = F.when(F.contains(core, F.lit(".")), F.length(F.substring_index(core, ".", -1))).otherwise(0)
+        value = sign(F.replace(core, F.lit(","), F.lit("")).cast("double"))
+        made = (F.when(allowed, "ok").otherwise("unreadable"), F.when(allowed, value), F.when(allowed, fraction), F.when(allowed, F.contains(core, F.lit(","))), F.lit(None).cast("double"))
+        return F.struct(*(c.alias(n) for c, n in zip(made, ("status", "value", "dp", "grouped", "other"), strict=True)))
+
+    def quick(core: Column) -> Column:
+        nothing = (F.lit("text"), F.lit(None).cast("double"), F.lit(None).cast("int"), F.lit(None).cast("boolean"), F.lit(None).cast("double"))
+        known = F.when(core == "", F.struct(*(c.alias(n) for c, n in zip(nothing, ("status", "value", "dp", "grouped", "other"), strict=True))))
+        for pattern, fits in SHAPES:
+            known = known.when(core.rlike(pattern), one(core, fits))
+        return known.otherwise(let(F.coalesce(readings(core), F.array()), decide))
+
+    return let(F.translate(F.coalesce(parts["core"], F.lit("")), *SPACES), quick)
 
 
 def currency_code(marker: Column) -> Column:
@@ -186,7 +214,7 @@ def written(value: Column, dp: Column, mask: Column, marker: Column, after: Colu
     places = F.least(F.greatest(dp, F.lit(0)), F.lit(X.MAX_DP))
     digits = F.lit(None).cast("string")
     for k in range(X.MAX_DP, -1, -1):
-        digits = F.when(places == k, F.abs(value).cast("decimal(38,15)").cast("decimal(38,14)").cast(f"decimal(38,{k})").cast("string")).otherwise(digits)
+        digits = F.when(places == k, F.replace(F.format_number(F.abs(value).try_cast("decimal(38,15)").cast("decimal(38,14)").cast(f"decimal(38,{k})"), k), F.lit(","), F.lit(""))).otherwise(digits)
 
     def style(text: Column) -> Column:
         marks = marks_of(mask)

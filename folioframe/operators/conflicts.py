@@ -9,7 +9,7 @@ from ..functions import lexicon as X
 from ..functions import messages as M
 from ..functions import text as T
 
-PAIR = r"(?U)(?<!\S)([0-9]+(?:[.,][0-9]+)*)\s+([\p{L}\p{M}]+)"
+PAIR = r"(?U)(?<!\S)([0-9][0-9.,]*)\s+([\p{L}\p{M}]+)"  # the number's marks are checked afterwards, without a nested loop
 
 
 def _listed(word: Column, words: tuple[str, ...]) -> Column:
@@ -27,7 +27,8 @@ def mentions(texts: DataFrame) -> DataFrame:
     found = plain.select("doc_id", "page", "row", "line", "part", F.posexplode(F.regexp_extract_all("text", F.lit(PAIR), F.lit(0))).alias("k", "said"))
     split = found.withColumn("number", F.regexp_extract("said", PAIR, 1)).withColumn("unit", F.regexp_extract("said", PAIR, 2))
     postcode = F.col("number").rlike("^[0-9]{4,}$") & F.col("unit").rlike(r"^\p{Lu}")
-    kept = split.filter(~_listed(F.col("unit"), X.NOT_COUNT_WORDS) & ~_listed(F.col("unit"), X.MONTHS) & ~postcode)
+    well_formed = F.col("number").rlike("[0-9]$") & ~F.col("number").rlike("[.,]{2}")
+    kept = split.filter(well_formed).filter(~_listed(F.col("unit"), X.NOT_COUNT_WORDS) & ~_listed(F.col("unit"), X.MONTHS) & ~postcode)
     return kept.select("doc_id", "page", "row", "part", "k", "line", F.col("said").alias("text"), "number", T.singular(F.col("unit")).alias("word"), T.printed_value(F.col("number")).alias("value"))
 
 

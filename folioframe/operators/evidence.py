@@ -18,8 +18,11 @@ def words_in(source: Column, stream: Column) -> Column:
     return F.forall(F.filter(F.split(source, r"(?U)\s+"), lambda w: w != ""), lambda w: F.contains(stream, w))
 
 
-def field_fails(field: Column, source: Column, stream: Column, conventions: Column, money: Column, priced: Column) -> Column:
-    """Whether a number field isn't what its span and page say: span, words, value, currency and unit are read again."""
+def field_fails(field: Column, source: Column, on_page: Column, conventions: Column, money: Column, priced: Column) -> Column:
+    """Whether a number field isn't what its span and page say: value, currency and unit are read again.
+
+    ``on_page`` says whether all words of the source text stand on the page.
+    """
 
     def compared(parts: Column, reading: Column) -> Column:
         same_value = (reading["status"] == "ok") & (reading["value"] == field["value"])
@@ -29,16 +32,16 @@ def field_fails(field: Column, source: Column, stream: Column, conventions: Colu
 
     read_again = let(N.analyse(field["raw"]), lambda parts: let(N.read(parts, conventions), lambda reading: compared(parts, reading)))
     spanned = F.substring(source, field["start"] + 1, field["stop"] - field["start"]) == field["raw"]
-    good = field["start"].isNotNull() & spanned & words_in(source, stream) & read_again
+    good = field["start"].isNotNull() & spanned & on_page & read_again
     return field["value"].isNotNull() & ~F.coalesce(good, F.lit(False))
 
 
 def evidence_gate(items: DataFrame, streams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items that pass, refusals of those that don't); ``streams`` has doc_id, page and stream_text."""
-    joined = items.join(streams.select(*KEYS, "stream_text"), KEYS, "left")
-    failing = F.filter("fields", lambda f: field_fails(f, F.col("source_text"), F.col("stream_text"), F.col("conventions"), f["role"].isin("unitPrice", "lineTotal"), f["role"] == "unitPrice"))
+    joined = items.join(streams.select(*KEYS, "stream_text"), KEYS, "left").withColumn("on_page", words_in(F.col("source_text"), F.col("stream_text")))
+    failing = F.filter("fields", lambda f: field_fails(f, F.col("source_text"), F.col("on_page"), F.col("conventions"), f["role"].isin("unitPrice", "lineTotal"), f["role"] == "unitPrice"))
     checked = joined.withColumn("failed", F.when(F.col("stream_text").isNull(), F.lit("")).otherwise(F.get(failing, F.lit(0))["raw"]))
-    checked = written(checked.drop("stream_text"), "gated")
+    checked = written(checked.drop("stream_text", "on_page"), "gated")
     passed = checked.filter("failed is null").drop("failed")
     what = F.when(F.col("failed") == "", "a value").otherwise(F.concat(F.lit("'"), F.col("failed"), F.lit("'")))
     refused = checked.filter("failed is not null").select(*KEYS, "row", F.lit("EVIDENCE_CHECK_FAILED").alias("code"), M.refusal("EVIDENCE_CHECK_FAILED", page=F.col("page"), what=what).alias("message"), "source_text")

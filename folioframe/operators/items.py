@@ -199,7 +199,7 @@ def row_refusals(judged: DataFrame) -> DataFrame:
     between = F.get(F.filter("cells", lambda c: (c["position"] > low) & (c["position"] < high) & c["role"].isNull() & c["header"].isNotNull()), F.lit(0))["header"]
     expected = N.written(F.col("quantity.reading.value") * F.col("price.reading.value"), F.col("total.reading.dp"), F.col("conventions"), F.col("total.parts.marker"), N.marker_after(F.col("total.text"), F.col("total.parts.marker")))
     mismatch = M.refusal("ARITHMETIC_MISMATCH", page=page, quantity=F.col("quantity.text"), price=F.col("price.text"), expected=expected, total=F.col("total.text"))
-    plain = lambda v: F.regexp_replace(v.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    plain = T.plain_number
     message = (
         F.when(F.col("outcome") == "NO_DESCRIPTION", M.refusal("NO_DESCRIPTION", page=page, row=F.col("row_text")))
         .when(F.col("outcome") == "ARITHMETIC_MISMATCH", F.concat(mismatch, F.coalesce(F.when(between.isNotNull(), M.refusal("ARITHMETIC_MISMATCH.between", between=between)), F.lit(""))))

@@ -105,16 +105,16 @@ def totals_candidates(layout: DataFrame, roles: DataFrame, moved: DataFrame) ->
 
 def gate_totals(found: DataFrame, streams: DataFrame) -> DataFrame:
     """Adds ``proved``: whether the amount can be traced to the page's text; ambiguous amounts need no proof yet."""
-    from .evidence import field_fails
+    from .evidence import field_fails, words_in
 
     field = F.struct(F.col("raw").alias("raw"), F.col("value").alias("value"), F.col("currency").alias("currency"), F.lit(None).cast("string").alias("per"), F.col("start").alias("start"), F.col("stop").alias("stop"))
     joined = found.join(streams.select(*KEYS, "stream_text"), KEYS, "left")
-    fails = field_fails(field, F.col("row_text"), F.col("stream_text"), F.col("conventions"), F.lit(True), F.lit(False))
+    fails = field_fails(field, F.col("row_text"), words_in(F.col("row_text"), F.col("stream_text")), F.col("conventions"), F.lit(True), F.lit(False))
     return joined.withColumn("proved", F.col("stream_text").isNotNull() & ~fails).drop("stream_text")
 
 
 def _units(value: Column, dp: Column) -> Column:
-    return F.floor(value * F.pow(F.lit(10.0), dp) + 0.5).cast("long")
+    return F.floor(value * F.pow(F.lit(10.0), dp) + 0.5).try_cast("long")
 
 
 def check_totals(pages: DataFrame, items: DataFrame, candidates: DataFrame, unread: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def check_totals(pages: DataFrame, items: DataFrame, candidates: DataFrame, unre
     )
     code = F.when(F.col("rule") == "fail", "TOTALS_DISAGREE").when(F.col("rule").isin("twoAmounts", "pageNotRead", "missingLineTotal"), "TOTALS_UNVERIFIABLE")
     reasons = F.try_element_at(F.create_map(*[F.lit(x) for pair in M.REASONS.items() for x in pair]), F.when(F.col("rule") == "gstNoSubtotalUnknown", "gstNoSubtotal").otherwise(F.col("rule")))
-    plain = lambda v: F.regexp_replace(v.cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    plain = T.plain_number
     two = lambda c: M.refusal("AMBIGUOUS_NUMBER_FORMAT.total", page=c["page"], raw=c["raw"], first=plain(c["first"]), second=plain(c["second"]))
     at_row = lambda c, tail: F.concat(F.lit("totals-p"), c["page"].cast("string"), F.lit("-r"), c["row"].cast("string"), F.lit(tail))
     refusal = lambda id_, code_, page, text, c: F.struct(id_.alias("id"), code_.alias("code"), page.cast("int").alias("page"), text.alias("message"), F.array(F.struct(c["page"].alias("page"), c["row_text"].alias("source_text"))).alias("evidence"))

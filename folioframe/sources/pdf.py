@@ -156,7 +156,8 @@ class File:
             if item.number in self.known:
                 item = self.known[item.number]
             elif item.number in self.places:
-                item = self.known[item.number] = self._load(self.places[item.number])
+                self.known[item.number] = loaded = self._load(self.places[item.number])
+                item = loaded
             else:
                 item = self.inner.get(item.number)
         raise Damaged("CORRUPT_FILE")
