@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import lexicon as X
 from .functions import text as T
 from .operators import conflicts, contract, layout
+from .plans import reports
 from .plans.document import DocumentPlan, pages_per_part, run_summary
 from .plans.store import shared_dir, written
 from .sources import upload
@@ -513,3 +514,61 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drawn_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body rows found by the fold, counted by page: the round trip of layout without roles."""
     return layout.lay_out(virtual_documents(spark, sf_dir)[1].filter("abs(angle) <= 5")).select("doc_id", "page", F.size("body").alias("pieces"))
+
+
+@query(
+    LINES
+    + """
+, cells AS (
+    SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY place) AS line, variant, unnest(CASE WHEN variant = 13 THEN [description, CAST(quantity AS VARCHAR), unit] ELSE [CAST(line_no AS VARCHAR), description, CAST(quantity AS VARCHAR), unit, price_text, total_text] END) AS text,
+           generate_subscripts(CASE WHEN variant = 13 THEN [1, 2, 3] ELSE [1, 2, 3, 4, 5, 6] END, 1) AS k
+    FROM money WHERE variant NOT IN (6, 9) AND NOT faulty
+)
+SELECT doc_id, page, line, CAST(k - 1 AS INT) AS position, CASE WHEN variant = 13 THEN ['Description', 'Qty', 'Unit'][k] ELSE ['Item', 'Description', 'Qty', 'Unit', 'Unit Price', 'Line Total'][k] END AS heading, text FROM cells
+"""
+)
+def items_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = reports.items_table(plan(spark, sf_dir)).withColumn("line", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("row")).cast("long"))
+    return cells.select("doc_id", "page", "line", "position", "heading", "text")
+
+
+@query(
+    _STATUS
+    + """
+SELECT doc_id, page, CASE WHEN variant IN (6, 9) THEN 'Not read' WHEN status = 'refused' THEN 'No lines listed: its one line was left out' WHEN status = 'partial' THEN 'Partly read: 1 line left out' WHEN variant = 7 THEN 'Read, with a warning' ELSE 'Read' END AS label FROM state
+"""
+)
+def page_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.page_labels(plan(spark, sf_dir))
+
+
+@query(
+    LINES
+    + """
+, grouped AS (SELECT doc_id, bool_or(largest >= 100000) AS grouped FROM pages GROUP BY doc_id)
+SELECT doc_id, CASE WHEN variant <> 8 THEN NULL WHEN grouped THEN 'Numbers on this document use ''.'' between thousands and '','' as the decimal mark, like 1.195,20.' ELSE 'Numbers on this document use '','' as the decimal mark, like 15,50.' END AS sentence
+FROM documents JOIN grouped USING (doc_id)
+"""
+)
+def format_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.format_sentences(plan(spark, sf_dir))
+
+
+@query(
+    _STATUS
+    + """
+, refused AS (
+    SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM pages WHERE variant IN (6, 9) UNION ALL SELECT doc_id FROM lines WHERE faulty UNION ALL SELECT doc_id FROM documents WHERE variant IN (3, 4, 11, 12)) GROUP BY doc_id
+), counted AS (
+    SELECT doc_id, count(*) AS pages, CAST(sum(item_count) AS BIGINT) AS items, count(*) FILTER (WHERE item_count > 0) AS pages_with_items, CASE WHEN any_value(variant) = 7 THEN count(*) ELSE 0 END AS warnings FROM state GROUP BY doc_id
+)
+SELECT doc_id, pages, items, pages_with_items, warnings, coalesce(n, 0) AS refusals,
+       CASE WHEN items = 0 AND pages = 1 THEN 'No line items were read from this page' WHEN items = 0 THEN 'No line items were read from these ' || pages || ' pages'
+            ELSE items || CASE WHEN items = 1 THEN ' line item' ELSE ' line items' END || ' read from ' || CASE WHEN pages_with_items = pages THEN pages || CASE WHEN pages = 1 THEN ' page' ELSE ' pages' END ELSE pages_with_items || ' of ' || pages || ' pages' END END
+       || CASE WHEN coalesce(n, 0) > 0 THEN ' · ' || n || CASE WHEN n = 1 THEN ' thing' ELSE ' things' END || ' we couldn''t read or check' ELSE '' END
+       || CASE WHEN warnings > 0 THEN ' · ' || warnings || CASE WHEN warnings = 1 THEN ' warning' ELSE ' warnings' END ELSE '' END || CASE WHEN coalesce(n, 0) + warnings > 0 THEN ', listed below.' ELSE '.' END AS sentence
+FROM counted LEFT JOIN refused USING (doc_id)
+"""
+)
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.summaries(plan(spark, sf_dir))

@@ -12,8 +12,8 @@ from ..functions import text as T
 def classify_pages(pages: DataFrame, pieces: DataFrame) -> DataFrame:
     """doc_id, page, image_count, piece_count, stream_text, kind, code, form, sideways.
 
-    ``pages`` has doc_id, page, image_count and drawing_count; ``pieces`` one
-    row for each drawn text. The first rule that fits decides: no text (scan,
+    ``pages`` has doc_id, page, image_count, drawing_count and, from readers
+    that can fail on a page, code; ``pieces`` has one row for each drawn text. The first rule that fits decides: no text (scan,
     shapes or blank), garbled, mostly sideways numbers, all text sideways.
     """
     sideways = F.abs("angle") > X.ROTATION_LIMIT
@@ -31,10 +31,13 @@ def classify_pages(pages: DataFrame, pieces: DataFrame) -> DataFrame:
             said.alias("said"),
         )
     )
+    failed = F.col("failed") if "code" in pages.columns else F.lit(None).cast("string")
+    pages = pages.withColumnRenamed("code", "failed") if "code" in pages.columns else pages
     joined = pages.join(found, ["doc_id", "page"], "left").withColumn("piece_count", F.coalesce("piece_count", F.lit(0)))
     empty = F.col("piece_count") == 0
     code = (
-        F.when(empty & (F.col("image_count") + F.col("drawing_count") > 0), "NO_TEXT_LAYER")
+        F.when(failed.isNotNull(), failed)
+        .when(empty & (F.col("image_count") + F.col("drawing_count") > 0), "NO_TEXT_LAYER")
         .when(empty, None)
         .when(T.broken_share(F.col("said")) > X.GARBLED_SHARE, "GARBLED_TEXT")
         .when((2 * F.col("sideways_numbers") > F.col("numbers")) | (F.col("upright") == 0), "ROTATED_TEXT")

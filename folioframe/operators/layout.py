@@ -24,7 +24,7 @@ LAYOUT = (
     "lines array<struct<row:int,y:double,font_size:double,text:string,cells:array<struct<" + CELL + ">>>>,"
     "columns array<struct<position:int,header:string,kind:string,x0:double,x1:double>>, header_rows array<int>,"
     "body array<struct<n:int,row:int,label:string,more:array<int>,cells:array<struct<position:int," + CELL + ">>>>,"
-    "above array<int>, below array<int>, others array<int>, notes array<struct<code:string,text:string>>"
+    "above array<int>, below array<int>, others array<int>, notes array<struct<code:string,text:string>>, problem string"
 )
 
 WHOLE = regex.compile(T.WHOLE_NUMBER)
@@ -388,7 +388,7 @@ def page_layout(lines: list[Line]) -> dict:
     searched = [line for line in lines if line not in carried]
     out = {
         "lines": [{"row": l.row, "y": l.y, "font_size": l.font_size, "text": l.text, "cells": [c.row() for c in l.cells]} for l in lines],  # noqa: E741
-        "columns": None, "header_rows": [], "body": [], "above": [line.row for line in searched], "below": [], "others": [], "notes": [],
+        "columns": None, "header_rows": [], "body": [], "above": [line.row for line in searched], "below": [], "others": [], "notes": [], "problem": None,
     }
     found, at = [], 0
     while at < len(searched):
@@ -449,6 +449,14 @@ def page_layout(lines: list[Line]) -> dict:
     return out
 
 
+def contained_layout(pieces: list[tuple]) -> dict:
+    """The layout of a page, or what went wrong on it: an error refuses its own page and no other."""
+    try:
+        return page_layout(lines_of(pieces))
+    except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError) as error:
+        return {**page_layout([]), "problem": f"{type(error).__name__}: {error}"[:200]}
+
+
 # ---- in Spark
 
 
@@ -471,7 +479,7 @@ def lay_out(pieces: DataFrame) -> DataFrame:
 
         def close() -> None:
             if key is not None:
-                ready.append({"doc_id": key[0], "page": key[1], **page_layout(lines_of(own))})
+                ready.append({"doc_id": key[0], "page": key[1], **contained_layout(own)})
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_pylist(ready, schema=target)
@@ -511,5 +519,6 @@ def arrow_layout(doc: pa.DataType) -> pa.Schema:
             ("below", rows),
             ("others", rows),
             ("notes", pa.list_(pa.struct([("code", pa.string()), ("text", pa.string())]))),
+            ("problem", pa.string()),
         ]
     )

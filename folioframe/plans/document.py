@@ -93,14 +93,15 @@ class DocumentPlan:
         """doc_id, page, code, message and evidence of pages that are refused, or read in part."""
         page = F.col("page")
         form = F.concat_ws(".", "code", F.when(F.col("code").isin("NO_TEXT_LAYER", "ROTATED_TEXT"), F.col("form")))
-        said = {key: M.refusal(key, page=page) for key in ("NO_TEXT_LAYER.scan", "NO_TEXT_LAYER.shapes", "GARBLED_TEXT", "ROTATED_TEXT.numbers", "ROTATED_TEXT.all")}
+        said = {key: M.refusal(key, page=page) for key in ("NO_TEXT_LAYER.scan", "NO_TEXT_LAYER.shapes", "GARBLED_TEXT", "ROTATED_TEXT.numbers", "ROTATED_TEXT.all", "PAGE_LOAD_FAILED")}
         message = F.lit(None).cast("string")
         for key, text in said.items():
             message = F.when(form == key, text).otherwise(message)
         none = F.array().cast("array<struct<page:int,source_text:string>>")
         unread = self.classified.filter("kind = 'refused'").select(*KEYS, "code", message.alias("message"), none.alias("evidence"))
         quoted = lambda lines: F.transform(lines, lambda x: F.struct(page.alias("page"), x["text"].alias("source_text")))
-        bare = self.layouts.filter("columns is null").join(self.classified.select(*KEYS, "image_count", "piece_count"), KEYS)
+        broken = self.layouts.filter("problem is not null").select(*KEYS, F.lit("PAGE_LOAD_FAILED").alias("code"), said["PAGE_LOAD_FAILED"].alias("message"), none.alias("evidence"))
+        bare = self.layouts.filter("columns is null and problem is null").join(self.classified.select(*KEYS, "image_count", "piece_count"), KEYS)
         scan = (F.col("image_count") > 0) & (F.col("piece_count") < X.MOSTLY_SCAN_PIECES)
         untabled = bare.select(
             *KEYS,
@@ -115,7 +116,12 @@ class DocumentPlan:
         heads = F.concat("header_rows", F.transform("body", lambda b: b["row"]))
         unclear = self.tables.join(self.roles.filter("refusal is not null").select(*KEYS, F.col("refusal").alias("code"), "message"), KEYS)
         columns = unclear.select(*KEYS, "code", "message", quoted(F.transform(heads, lambda r: F.get(F.filter("lines", lambda x: x["row"] == r), F.lit(0)))).alias("evidence"))
-        return written(unread.unionByName(untabled).unionByName(credits).unionByName(columns), "page-refusals")
+        return written(unread.unionByName(broken).unionByName(untabled).unionByName(credits).unionByName(columns), "page-refusals")
+
+    @cached_property
+    def diagnostics(self) -> DataFrame:
+        """doc_id, page, stage and problem of pages that failed: for the log, never for the reply."""
+        return self.layouts.filter("problem is not null").select(*KEYS, F.lit("layout").alias("stage"), "problem")
 
     @cached_property
     def page_status(self) -> DataFrame:

@@ -241,3 +241,38 @@ def test_pages_per_part(spark):
         return max(fits, default=None)
 
     assert found == {1: brute([100, 100, 500, 100], 1000), 2: None, 3: brute([2000, 10], 4000)}
+
+
+def test_replies_over_the_limit_become_problems(plan):
+    from folioframe.plans.reports import limited_replies
+
+    whole = {r.doc_id: r for r in limited_replies(plan).collect()}
+    assert set(whole) == set(IDS.values()) and {r.kind for r in whole.values()} == {"result"}
+    sizes = {r.doc_id: len(r.json.encode()) for r in whole.values()}
+    limit = sorted(sizes.values())[len(sizes) // 2]
+    cut = {r.doc_id: r for r in limited_replies(plan, limit).collect()}
+    assert set(cut) == set(sizes)
+    for i, size in sizes.items():
+        assert cut[i].kind == ("result" if size <= limit else "problem")
+        if size > limit:
+            problem = json.loads(cut[i].json)
+            assert problem["code"] == "TOO_MANY_LINES" and problem["type"] == "/problems/too-many-lines" and "more lines than we can send back" in problem["detail"]
+
+
+def test_a_failing_page_is_contained(spark):
+    pieces = [(1, p, i, *piece) for p in (1, 2) for i, piece in enumerate(page())]
+    pieces.append((1, 2, 99, "x", None, 50.0, 5.0, 9.0, 0.0))
+    pages = spark.createDataFrame([(1, 1, 0, 0, None), (1, 2, 0, 0, None), (1, 3, 0, 0, "PAGE_LOAD_FAILED")], PAGES + ", code string")
+    found = DocumentPlan(pages, spark.createDataFrame(pieces, PIECES))
+    assert {r.page: r.status for r in found.page_status.collect()} == {1: "extracted", 2: "refused", 3: "refused"}
+    assert sorted((r.page, r.code) for r in found.page_refusals.collect()) == [(2, "PAGE_LOAD_FAILED"), (3, "PAGE_LOAD_FAILED")]
+    assert [(r.page, r.stage) for r in found.diagnostics.collect()] == [(2, "layout")]
+    assert found.line_items.count() == 3
+
+
+def test_replies_are_written_by_document(plan, tmp_path):
+    from folioframe.plans.reports import write_replies
+
+    write_replies(plan, str(tmp_path / "out"))
+    folders = [d for d in (tmp_path / "out").iterdir() if d.name.startswith("doc_id=")]
+    assert len(folders) == len(DOCUMENTS)
