@@ -14,6 +14,7 @@ from ..functions import lexicon as X
 from ..functions import messages as M
 from ..functions import numbers as N
 from ..functions import text as T
+from ..plans.store import written
 
 KEYS = ["doc_id", "page"]
 
@@ -37,29 +38,31 @@ def body_rows(layout: DataFrame, roles: DataFrame) -> DataFrame:
     """
     decided = roles.filter("refusal is null or refusal <> 'AMBIGUOUS_COLUMNS'").select(*KEYS, "conventions", F.col("columns").alias("roles"), F.coalesce(F.col("refusal") != "COLUMN_MEANING_UNKNOWN", F.lit(True)).alias("reads_numbers"))
     pages = layout.filter("columns is not null").join(decided, KEYS)
-    rows = pages.select(*KEYS, "conventions", "reads_numbers", "roles", "columns", "lines", F.explode("body").alias("b"))
-    own = _line(F.col("b.row"))
-    more = F.transform("b.more", _line)
-    placed = rows.select(*KEYS, "conventions", "reads_numbers", "roles", "columns", "b", own["text"].alias("row_text"), more.alias("more"))
+
+    def whole(b: Column) -> Column:
+        """A body row with its text and its wrapped lines, so that the page's lines need not go with each row."""
+        more = F.transform(b["more"], _line)
+        wraps = F.transform(more, lambda line: F.struct(line["text"].alias("text"), F.transform(line["cells"], lambda c: _column_at(F.col("columns"), (c["x0"] + c["x1"]) / 2)).alias("at")))
+        return F.struct(b["n"].alias("n"), b["row"].alias("row"), b["label"].alias("label"), b["cells"].alias("own"), _line(b["row"])["text"].alias("row_text"), wraps.alias("wraps"))
+
+    rows = pages.withColumn("rows", F.transform("body", whole)).select(*KEYS, "conventions", "reads_numbers", "roles", F.explode("rows").alias("b")).select(*KEYS, "conventions", "reads_numbers", "roles", "b.*")
 
     def taken(c: Column) -> Column:
-        cell = F.get(F.filter("b.cells", lambda x: x["position"] == c["position"]), F.lit(0))
+        cell = F.get(F.filter("own", lambda x: x["position"] == c["position"]), F.lit(0))
         number = F.coalesce(c["role"].isin(*X.NUMBER_ROLES), F.lit(False))
         return F.struct(c["position"].alias("position"), c["header"].alias("header"), c["key"].alias("key"), F.when(~number | F.col("reads_numbers"), c["role"]).alias("role"), cell.alias("cell"))
 
-    with_cells = placed.withColumn("cells", F.transform("roles", taken))
-    wraps = F.transform("more", lambda line: F.struct(line["text"].alias("text"), F.transform(line["cells"], lambda c: _column_at(F.col("columns"), (c["x0"] + c["x1"]) / 2)).alias("at")))
-    return with_cells.select(
+    return rows.select(
         *KEYS,
         "conventions",
         "reads_numbers",
-        F.col("b.n").alias("n"),
-        F.col("b.row").alias("row"),
-        F.col("b.label").alias("label"),
+        "n",
+        "row",
+        "label",
         "row_text",
-        F.array_join(F.concat(F.array("row_text"), F.transform("more", lambda x: x["text"])), "\n").alias("source_text"),
-        wraps.alias("wraps"),
-        "cells",
+        F.array_join(F.concat(F.array("row_text"), F.transform("wraps", lambda w: w["text"])), "\n").alias("source_text"),
+        "wraps",
+        F.transform("roles", taken).alias("cells"),
     )
 
 
@@ -139,7 +142,7 @@ def judge_rows(read: DataFrame) -> DataFrame:
         .when(F.coalesce(off, F.lit(False)), "ARITHMETIC_MISMATCH")
         .otherwise("item")
     )
-    told = read.withColumn("outcome", first)
+    told = written(read.withColumn("outcome", first), "told")
     ordered = F.array_sort(F.collect_list(F.struct("n", "outcome", F.col("total.reading.value").alias("total"), F.col("price").isNotNull().alias("priced"))))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("count"), F.lit(True).alias("complete"), F.array().cast("array<int>").alias("hits"))
 
@@ -155,7 +158,9 @@ def judge_rows(read: DataFrame) -> DataFrame:
         )
 
     hits = told.groupBy(*KEYS).agg(F.aggregate(ordered, start, fold, lambda acc: acc["hits"]).alias("hits"))
-    return told.join(hits, KEYS).withColumn("outcome", F.when(F.array_contains("hits", F.col("n")), "running").otherwise(F.col("outcome"))).drop("hits")
+    # running totals are rare: their row numbers go to the rows, not the rows to them, unless there are very many
+    found = written(hits.select(*KEYS, F.explode("hits").alias("n")).withColumn("hit", F.lit(True)), "running")
+    return told.join(found, [*KEYS, "n"], "left").withColumn("outcome", F.when(F.col("hit"), "running").otherwise(F.col("outcome"))).drop("hit")
 
 
 def _field(c: Column) -> Column:

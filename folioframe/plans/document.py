@@ -74,7 +74,7 @@ class DocumentPlan:
 
     @cached_property
     def judged(self) -> DataFrame:
-        return written(items.judge_rows(items.read_rows(items.body_rows(self.tables, self.roles))), "judged")
+        return items.judge_rows(items.read_rows(items.body_rows(self.tables, self.roles)))
 
     @cached_property
     def gated(self) -> tuple[DataFrame, DataFrame]:
