@@ -172,29 +172,55 @@ def probes(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
 
 
 def links_in_bucket(own: np.ndarray, others: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Trees that join all fingerprints of a bucket that are within ``limit`` bits: own ones, and probes to own ones."""
+    """Trees that join all fingerprints of a bucket that are within ``limit`` bits: own ones, and probes to own ones.
+
+    A found probe is compared with the own rows that are left, since it may be
+    all that joins them; probes aren't compared with each other.
+    """
     if len(own) == 1:
         near = others[np.bitwise_count(others ^ own[0]) <= limit]
         if len(near):
             yield np.full(len(near), own[0], np.uint64), near
         return
-    free = np.concatenate((own, others))
-    is_own = np.arange(len(free)) < len(own)
     queue: list[np.uint64] = []
-    while len(free):
-        if not queue:
-            if not is_own[0]:
-                return
-            queue.append(free[0])
-            free, is_own = free[1:], is_own[1:]
-        seed = queue.pop()
-        near = np.bitwise_count(free ^ seed) <= limit
+    probed: list[np.ndarray] = []  # probes found and not yet compared with the own rows that are left
+    while len(own):
+        if queue or not probed:
+            if queue:
+                seed = queue.pop()
+            else:
+                seed, own = own[0], own[1:]
+            for mine in (True, False):
+                rows = own if mine else others
+                near = np.bitwise_count(rows ^ seed) <= limit
+                if near.any():
+                    found = rows[near]
+                    yield np.full(len(found), seed, np.uint64), found
+                    if mine:
+                        queue += list(found)
+                        own = own[~near]
+                    else:
+                        probed.append(found)
+                        others = others[~near]
+            continue
+        # a probe joins own rows that are near it and not near each other
+        seeds = probed.pop()
+        width = max(1, 500_000 // len(own))
+        if len(seeds) > width:
+            probed.append(seeds[width:])
+            seeds = seeds[:width]
+        near = np.bitwise_count(own[:, None] ^ seeds[None, :]) <= limit
+        some = near.any(axis=1)
+        if some.any():
+            yield seeds[near[some].argmax(axis=1)], own[some]
+            queue += list(own[some])
+            own = own[~some]
+    # the own rows are all found: what is left of the queue can only reach probes
+    for seed in queue:
+        near = np.bitwise_count(others ^ seed) <= limit
         if near.any():
-            found = free[near]
-            yield np.full(len(found), seed, np.uint64), found
-            queue += list(found[is_own[near]])
-            free, is_own = free[~near], is_own[~near]
-    return
+            yield np.full(int(near.sum()), seed, np.uint64), others[near]
+            others = others[~near]
 
 
 def verified_links(probed: DataFrame, limit: int = LIMIT) -> DataFrame:

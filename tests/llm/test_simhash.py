@@ -94,6 +94,35 @@ def test_every_plan_finds_every_link(spark):
         assert all(find(a) == find(b) for a, b in near)
 
 
+def test_a_probe_that_joins_two_own_rows_is_not_lost(spark):
+    # s1 - o2 - s2 - o1: neighbours differ in one bit of each group, so they meet in the first group alone, at threshold 1
+    flip = lambda k: 1 | sum(1 << g + k for g in (16, 32, 48))
+    s1 = 1 << 50
+    o2 = s1 ^ flip(0)
+    s2 = o2 ^ flip(1)
+    o1 = s2 ^ flip(2)
+    assert s1 < s2 and o1 < o2 and min((s1 ^ s2).bit_count(), (o1 ^ o2).bit_count(), (s1 ^ o1).bit_count()) > 4
+    nodes = spark.createDataFrame([(v,) for v in (s1, s2, o1, o2)], "fp long")
+    chosen = [(list(range(g, g + 16)), int(g == 0)) for g in (0, 16, 32, 48)]
+    links = {frozenset((r.a, r.b)) for r in S.verified_links(S.probes(nodes, chosen)).collect()}
+    assert links == {frozenset(p) for p in ((s1, o2), (o2, s2), (s2, o1))}
+
+
+def test_trees_of_a_bucket_join_all_that_own_rows_reach():
+    rng = random.Random(4)
+    for _ in range(200):
+        values = list({sum(1 << b for b in rng.sample(range(12), rng.randint(0, 5))) << 1 | rng.randint(0, 1) for _ in range(rng.randint(2, 40))})
+        n = rng.randint(1, len(values))
+        label = {v: v for v in values}
+        want = [(a, b) for i, a in enumerate(values[:n]) for b in values[i + 1 :] if (a ^ b).bit_count() <= 2]
+        found = [(a, b) for x, y in S.links_in_bucket(np.array(values[:n], np.uint64), np.array(values[n:], np.uint64), 2) for a, b in zip(x.tolist(), y.tolist())]
+        assert set(map(frozenset, found)) <= set(map(frozenset, want)) and len(found) < len(values)
+        for a, b in found:
+            old, new = label[a], label[b]
+            label = {v: new if c == old else c for v, c in label.items()}
+        assert all(label[a] == label[b] for a, b in want)
+
+
 def test_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5, 5), (None, 3), (5000, 1050)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
