@@ -4,7 +4,10 @@ Every text gives a vector of transformed statistics. For each language and
 source the minimum covariance determinant (MCD) estimate of location and
 scatter is found by concentration steps from three deterministic starts, and
 documents far from it (squared Mahalanobis distance above a chi-square
-quantile) are rejected.
+quantile) are rejected. A group with few distinct vectors is judged by the
+estimate of its whole language, or of all vectors where the language has few
+as well, so that junk in a small source is held against what texts look like
+elsewhere.
 
 Each concentration step is one aggregation over all vectors: rows are summed
 by (group, start, bin of the log distance), and the moments of the nearest
@@ -38,6 +41,7 @@ P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 BINS = 32  # per factor e of the squared distance
 STEP = 0.05  # bin of a feature, for the medians
+FEW = "few"  # key of the estimate of all vectors where these are few: variances only
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -87,9 +91,12 @@ def features() -> list[Column]:
     return [F.round(v, 9).alias(f"x{i}") for i, v in enumerate(values)]
 
 
+def _part(name: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def group_key() -> Column:
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    return F.concat(part("lang"), F.lit("\x1f"), part("source")).alias("g")
+    return F.concat(_part("lang"), F.lit("\x1f"), _part("source")).alias("g")
 
 
 def chi_square_cdf(x: float, df: int) -> float:
@@ -113,6 +120,29 @@ def chi_square_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
+def small_sample_cutoff(n: int, alarm: float) -> float:
+    """The squared distance that a new normal vector exceeds with chance ``alarm`` where n vectors gave the estimate
+    (Hotelling); infinite where n vectors can't tell."""
+    if n <= P:
+        return math.inf
+    a, b = (n - P) / 2, P / 2
+    scale = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+
+    def tail(x: float) -> float:  # the regularised incomplete beta function of (a, b)
+        total, term, k = 0.0, 1.0, 0
+        while abs(term) > 1e-17 and k < 10_000:
+            total += term / (a + k)
+            k += 1
+            term *= (k - b) / k * x
+        return math.exp(scale + a * math.log(x)) * total
+
+    low, high = 0.0, 1.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tail(mid) < alarm else (low, mid)
+    return (n * n - 1) / n * (1 - high) / high
+
+
 def _consistency(share: float) -> float:
     """What the scatter of the nearest ``share`` of a normal sample is to be multiplied by."""
     return share / chi_square_cdf(chi_square_quantile(share, P), P + 2)
@@ -151,7 +181,8 @@ def estimate(frame: pd.DataFrame, factor: float) -> pd.DataFrame:
         mean = np.array([values[f"s{i}"] for i in range(P)]) / n
         cov = np.zeros((P, P))
         for i, j in PAIRS:
-            cov[i, j] = cov[j, i] = factor * (values[f"q{i}_{j}"] / n - mean[i] * mean[j])
+            if i == j or values["g"] != FEW:
+                cov[i, j] = cov[j, i] = factor * (values[f"q{i}_{j}"] / n - mean[i] * mean[j])
         inverse, logdet = _inverse(cov)
         out.append((values["g"], int(values["s"]), int(n), logdet, *mean, *(inverse[i, j] for i, j in PAIRS)))
     return pd.DataFrame(out, columns=["g", "s", "n", "logdet", *(f"m{i}" for i in range(P)), *(f"w{i}_{j}" for i, j in PAIRS)])
@@ -222,10 +253,36 @@ def _concentrate(vectors: DataFrame, estimates: DataFrame, share: float, least:
     return nearest.groupBy("g", "s").agg(*(F.sum(c).alias(c) for c in MOMENT_NAMES))
 
 
+def _pools(vectors: DataFrame, least_vectors: int) -> tuple[DataFrame, DataFrame]:
+    """(g, k): the estimate k that judges each group, and (g, x0..) under the keys k: the distinct vectors behind each.
+
+    A group with ``least_vectors`` has its own; else its language, and else all vectors.
+    """
+    xs = [f"x{i}" for i in range(P)]
+    groups = materialise(vectors.groupBy("l", "g").agg(F.count(F.lit(1)).alias("vectors")), "mcd-groups")
+    enough = F.col("vectors") >= least_vectors
+    own = groups.filter(enough)
+    if groups.filter(~enough).isEmpty():
+        return groups.select("g", F.concat(F.lit("g"), "g").alias("k")), vectors.select(F.concat(F.lit("g"), "g").alias("g"), *xs)
+    short = _small(groups.filter(~enough).select("l").distinct())
+    by_lang = materialise(vectors.join(short, "l", "left_semi").select(F.concat(F.lit("l"), "l").alias("g"), *xs).distinct(), "mcd-languages")
+    langs = materialise(by_lang.groupBy("g").agg(F.count(F.lit(1)).alias("vectors")), "mcd-language-sizes")
+    pools = vectors.join(_small(own.select("g")), "g", "left_semi").select(F.concat(F.lit("g"), "g").alias("g"), *xs)
+    pools = pools.unionByName(by_lang.join(_small(langs.filter(enough).select("g")), "g", "left_semi"))
+    rest = "a"
+    if not langs.filter(~enough).isEmpty():
+        every = materialise(vectors.select(*xs).distinct(), "mcd-all")
+        rest = "a" if every.limit(least_vectors).count() == least_vectors else FEW
+        pools = pools.unionByName(every.select(F.lit(rest).alias("g"), *xs))
+    pooled = groups.filter(~enough).select("g", F.concat(F.lit("l"), "l").alias("k")).join(_small(langs.filter(enough).select(F.col("g").alias("k"), F.lit(True).alias("known"))), "k", "left")
+    keys = own.select("g", F.concat(F.lit("g"), "g").alias("k")).unionByName(pooled.select("g", F.when(F.col("known"), F.col("k")).otherwise(F.lit(rest)).alias("k")))
+    return keys, materialise(pools, "mcd-pools")
+
+
 def fit_mcd(stats: DataFrame, share: float = 0.75, steps: int = 5, least_vectors: int = 50) -> DataFrame:
-    """One reweighted MCD estimate for each language and source with at least ``least_vectors`` distinct vectors."""
-    vectors = stats.filter(~F.col("base_failed")).select(group_key(), *features()).distinct()
-    vectors = materialise(vectors, "mcd-vectors")
+    """A reweighted MCD estimate for each language and source: its own, or that of the pool which judges it."""
+    vectors = stats.filter(~F.col("base_failed")).select(group_key(), _part("lang").alias("l"), *features()).distinct()
+    keys, vectors = _pools(materialise(vectors, "mcd-vectors"), least_vectors)
     current = _starts(vectors)
     for step in range(steps):
         current = _estimates(_concentrate(vectors, current, share), 1.0, f"mcd-step{step}")
@@ -234,7 +291,8 @@ def fit_mcd(stats: DataFrame, share: float = 0.75, steps: int = 5, least_vectors
     # the raw estimate made consistent, then one reweighting by the vectors that it holds for regular
     limit = chi_square_quantile(0.975, P) * _consistency(share)
     final = _estimates(_concentrate(vectors, chosen, share, least=limit), _consistency(0.975), "mcd-final")
-    return final.join(vectors.groupBy("g").agg(F.count(F.lit(1)).alias("vectors")), "g").filter(F.col("vectors") >= least_vectors).drop("n", "s", "logdet")
+    final = final.join(vectors.groupBy("g").agg(F.count(F.lit(1)).alias("vectors")), "g").drop("n", "s", "logdet").withColumnRenamed("g", "k")
+    return keys.join(_small(materialise(final, "mcd-pool-model")), "k").drop("k")
 
 
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, least_vectors: int = 50, alarm: float = 1e-9) -> DataFrame:
@@ -242,14 +300,19 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, least_vectors: i
 
     A row is kept unless it fails a base rule or its squared distance exceeds
     the chi-square quantile of 1 - ``alarm``. Groups with fewer than
-    ``least_vectors`` distinct vectors have no estimate; their rows are judged
-    by the base rules alone. Null languages and sources form groups of their
-    own, null and empty texts fail the base rules, repeated rows get the same
-    verdict, and an empty table gives no rows.
+    ``least_vectors`` distinct vectors are judged by their language, languages
+    with fewer by all vectors, and where all are fewer by these with the
+    cutoff of so small a sample, so every row that passes the base rules has a
+    distance. Null languages and sources form groups of their own, null and
+    empty texts fail the base rules, repeated rows get the same verdict, and
+    an empty table gives no rows.
     """
     stats = materialise(base_statistics(docs), "quality-stats")
     model = _small(materialise(fit_mcd(stats, share, steps, least_vectors), "mcd-model"))
-    cutoff = chi_square_quantile(1 - alarm, P)
+    cutoff = F.lit(chi_square_quantile(1 - alarm, P))
+    if least_vectors > 1:
+        few = F.array(*(F.lit(small_sample_cutoff(n, alarm)) for n in range(1, least_vectors)))
+        cutoff = F.when(F.col("vectors") < least_vectors, F.get(few, (F.col("vectors") - 1).cast("int"))).otherwise(cutoff)
     kinds = [group_key(), *features()]
     judged = stats.select("*", *kinds).join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("m0").isNotNull(), _distance()))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")

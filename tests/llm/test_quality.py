@@ -109,6 +109,41 @@ def test_copies_cannot_take_over(spark):
     assert sum(kept[i] for i in range(120)) == 120 and kept[1000] and not kept[5000]
 
 
+def test_small_groups_are_judged_by_their_language_then_by_all(spark):
+    junk = lambda seed: " ".join(f"<{w}>#%" for w in prose(seed, 60).split())
+    rows = [doc(i, prose(i, 40 + i), "en", "large") for i in range(120)]
+    rows += [doc(200 + i, prose(200 + i, 60 + i), "en", f"small{i}") for i in range(8)] + [doc(300, junk(1), "en", "small0"), doc(301, junk(2), "en", "alone")]
+    rows += [doc(400, prose(400, 70), "de", "large"), doc(401, junk(3), "de", "large"), doc(402, junk(4), None, None)]
+    out = {r.doc_id: r for r in Q.judge(frame(spark, rows)).collect()}
+    assert all((r.distance is None) == r.base_failed for r in out.values())
+    assert {i for i, r in out.items() if not r.kept} == {300, 301, 401, 402}
+    english = brute_mcd([vector(r[1]) for r in rows if r[2] == "en"])
+    found = [out[r[0]].distance for r in rows if r[2] == "en" and r[3] != "large"]
+    assert np.allclose(found, english[120:], rtol=1e-5, atol=1e-6)
+    everything = brute_mcd([vector(r[1]) for r in rows])
+    assert np.allclose([out[i].distance for i in (400, 401, 402)], everything[-3:], rtol=1e-5, atol=1e-6)
+
+
+def vector(text):
+    s = brute_statistics(text)
+    return tuple(round(v, 9) for v in (math.log(s[0]), math.log(s[1] / s[0]), math.sqrt(s[2] / s[0]), math.sqrt(s[3] / s[5]), math.sqrt(s[4] / s[0])))
+
+
+def test_a_table_of_few_vectors_gives_distances(spark):
+    rows = [doc(i, prose(i, 40 + i), "en", f"s{i}") for i in range(40)] + [doc(100, " ".join(f"<{w}>#%|" for w in prose(1, 60).split()), "en", "s100")]
+    out = {r.doc_id: r for r in Q.judge(frame(spark, rows)).collect()}
+    assert all(r.distance is not None for r in out.values()) and {i for i, r in out.items() if not r.kept} == {100}
+    one = Q.judge(frame(spark, rows[:1])).collect()
+    assert one[0].kept and one[0].distance is not None
+
+
+def test_small_sample_cutoff():
+    assert Q.small_sample_cutoff(5, 1e-9) == math.inf
+    # five times the F quantile 3.3258 (0.95; 5, 10) times 224 / 150
+    assert math.isclose(Q.small_sample_cutoff(15, 0.05), 5 * 3.3258 * 224 / 150, rel_tol=1e-4)
+    assert math.isclose(Q.small_sample_cutoff(1000, 0.05), Q.chi_square_quantile(0.95, 5), rel_tol=0.02)
+
+
 def test_awkward_rows(spark):
     out = {r.doc_id: r for r in Q.judge(clashing(frame(spark))).collect()}
     assert Q.judge(frame(spark)).count() == 12
