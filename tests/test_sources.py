@@ -89,3 +89,28 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'line_items' in q and set(o) <= set(q) and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
     run = subprocess.run([sys.executable, "-B", "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
     assert run.returncode == 0, run.stderr
+
+
+def test_the_rest_stands_where_the_subpackage_cannot_be_imported(tmp_path):
+    """A folder left without its files, and operators whose dependency is missing, leave the other queries alone."""
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'line_items' in q and set(o) <= set(q) and not any(n.startswith('op') for n in q) and 'pipeline' not in q"
+    left = tmp_path / "left"
+    shutil.copytree(ROOT, left, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    (left / "folioframe" / "llm" / "__pycache__").mkdir(parents=True)
+    missing = tmp_path / "missing"
+    shutil.copytree(ROOT, missing, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    (missing / "folioframe" / "llm").mkdir()
+    for name in ("__init__.py", "catalogue.py"):
+        (missing / "folioframe" / "llm" / name).write_text("import a_module_that_is_not_installed\n")
+    for folder in (left, missing):
+        run = subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, env={**os.environ, "PYTHONPATH": str(folder)}, capture_output=True, text=True)
+        assert run.returncode == 0, run.stderr
+
+
+def test_stages_are_swept(spark, tmp_path):
+    from folioframe.plans.store import shared_dir, sweep, written
+
+    folder = os.path.join(shared_dir(spark).removeprefix("file:"), "folioframe", spark.sparkContext.applicationId)
+    assert written(spark.range(3), "three").count() == 3 and os.path.isdir(folder)
+    sweep(spark)
+    assert not os.path.exists(folder)
