@@ -5,11 +5,17 @@ correlated bits together; a partition p gets a threshold t(p) >= -1 such that
 the sum of (t(p) + 1) is limit + 1, so any two fingerprints within ``limit``
 bits agree on some partition up to its threshold. Number, width and
 thresholds are chosen by dynamic programming on the candidate counts that the
-measured bit frequencies predict. Fingerprints probe every value within the
-threshold of each partition; those that meet are verified on all 64 bits.
+measured bits predict: from the 64 x 64 counts of bits set together follow the
+exact mean and variance of the number of bits in which two nodes differ on a
+partition, correlations included, and a beta-binomial with both gives the
+share of pairs within each threshold. Fingerprints probe every value within
+the threshold of each partition; those that meet are verified on all 64 bits.
 
 Inside a bucket links are found by growing trees, so a bucket of n nodes
-gives at most n - 1 links, not all pairs; connectivity is the same.
+gives at most n - 1 links, not all pairs; connectivity is the same. A bucket
+of more than ``BUCKET`` nodes is cut again: two fingerprints within ``limit``
+bits agree wholly on one of limit + 1 parts of the other bits, so each of its
+rows goes to one smaller bucket for each of those parts.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER_ASCII, materialise, pick, table
+from .common import BROADCAST_ROWS, LOWER_ASCII, join_unique, materialise, pick, table
 from .components import connected_components
 
 BITS = 64
 SHINGLE = 4
 LIMIT = 4
+BUCKET = 20_000  # most nodes of a bucket that is searched as it is
 
 
 def fingerprint(text: str | None) -> int:
@@ -107,22 +115,32 @@ def grouped_bits(corr: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def expected_pairs(n: int, share: np.ndarray, bits: list[int], most: int) -> list[float]:
-    """For t = 0.. most: expected ordered pairs of nodes within t bits on ``bits``, bits taken as independent."""
-    differ = 2 * share[bits] * (1 - share[bits])
-    chance = np.zeros(most + 1)
-    chance[0] = 1.0
-    for q in differ:
-        chance[1:] = chance[1:] * (1 - q) + chance[:-1] * q
-        chance[0] *= 1 - q
+def expected_pairs(n: int, together: np.ndarray, bits: list[int], most: int) -> list[float]:
+    """For t = 0.. most: expected ordered pairs of nodes within t bits on ``bits``."""
+    width = len(bits)
+    both = together[np.ix_(bits, bits)] / n
+    share = both.diagonal()
+    one = share[:, None] - both  # the first bit set, the second not
+    none = 1 - share[:, None] - share[None, :] + both
+    differ = 2 * share * (1 - share)
+    joint = 2 * (both * none + one * one.T)  # two nodes differ in both bits
+    np.fill_diagonal(joint, differ)
+    mean = float(differ.sum())
+    variance = float(joint.sum() - mean * mean)
+    m = min(max(mean / width, 1e-9), 1 - 1e-9)
+    rho = min(max((variance / (width * m * (1 - m)) - 1) / max(width - 1, 1), 1e-6), 0.95)
+    a, b = m * (1 - rho) / rho, (1 - m) * (1 - rho) / rho
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    chance = [math.comb(width, k) * math.exp(beta(k + a, width - k + b) - beta(a, b)) for k in range(min(most, width) + 1)]
+    chance += [0.0] * (most + 1 - len(chance))
     return list(n * n * np.cumsum(chance))
 
 
-def allocate(n: int, share: np.ndarray, partitions: list[list[int]], limit: int, probe_cost: float) -> tuple[float, list[int]]:
+def allocate(n: int, together: np.ndarray, partitions: list[list[int]], limit: int, probe_cost: float) -> tuple[float, list[int]]:
     """Least cost and the thresholds that reach it: sum of (t + 1) = limit + 1, t = -1 skips a partition."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for bits in partitions:
-        pairs = expected_pairs(n, share, bits, limit)
+        pairs = expected_pairs(n, together, bits, limit)
         costs = [0.0] + [pairs[t] + probe_cost * n * sum(math.comb(len(bits), d) for d in range(t + 1)) for t in range(min(limit, len(bits)) + 1)]
         after: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
@@ -137,13 +155,13 @@ def allocate(n: int, share: np.ndarray, partitions: list[list[int]], limit: int,
 
 def plan(n: int, together: np.ndarray, limit: int = LIMIT, probe_cost: float = 30.0) -> list[tuple[list[int], int]]:
     """The partitions to probe with their thresholds, for the number of partitions that costs least."""
-    corr, share = correlations(n, together), together.diagonal() / n
+    corr = correlations(n, together)
     options = []
     for parts in range(1, limit + 2):
         partitions = grouped_bits(corr, parts)
         if parts == 1 and limit > 2:
             continue  # a ball of that radius on 64 bits is larger than any other choice
-        options.append((*allocate(n, share, partitions, limit, probe_cost), partitions))
+        options.append((*allocate(n, together, partitions, limit, probe_cost), partitions))
     _, thresholds, partitions = min(options, key=lambda o: o[0])
     return [(bits, t) for bits, t in zip(partitions, thresholds, strict=True) if t >= 0]
 
@@ -223,6 +241,29 @@ def links_in_bucket(own: np.ndarray, others: np.ndarray, limit: int) -> Iterator
             others = others[~near]
 
 
+def _mask(bits: list[int]) -> int:
+    value = sum(1 << b for b in bits)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def cut_buckets(nodes: DataFrame, probed: DataFrame, chosen: list[tuple[list[int], int]], limit: int, most: int = BUCKET) -> DataFrame:
+    """The probes with the rows of buckets that more than ``most`` nodes own dealt to smaller buckets by their other bits."""
+    own = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(p).cast("tinyint").alias("p"), F.col("fp").bitwiseAND(F.lit(_mask(bits))).alias("value")) for p, (bits, _) in enumerate(chosen)))).alias("b"))
+    large = materialise(own.groupBy("b.p", "b.value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("p", "value", F.lit(True).alias("large")), "simhash-large")
+    if large.isEmpty():
+        return probed
+    marked = join_unique(materialise(probed, "simhash-probes"), large, ["p", "value"], "left")
+    cases = F.lit(None).cast("array<struct<p:tinyint,value:bigint>>")
+    for p, (bits, _) in enumerate(chosen):
+        others = [b for b in range(BITS) if b not in bits]
+        parts = [others[i :: limit + 1] for i in range(limit + 1)]
+        finer = F.array(*(F.struct(F.lit(len(chosen) + p * (limit + 1) + i).cast("tinyint").alias("p"), F.col("value").bitwiseOR(F.col("fp").bitwiseAND(F.lit(_mask(part)))).alias("value")) for i, part in enumerate(parts)))
+        cases = F.when(F.col("p") == p, finer).otherwise(cases)
+    same = F.array(F.struct("p", "value"))
+    dealt = marked.select("probe", "fp", F.explode(F.when(F.col("large"), cases).otherwise(same)).alias("b"))
+    return dealt.select("b.p", "b.value", "probe", "fp")
+
+
 def verified_links(probed: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between fingerprints that meet in a bucket and differ in at most ``limit`` bits.
 
@@ -278,27 +319,74 @@ def verified_links(probed: DataFrame, limit: int = LIMIT) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def _components(nodes: DataFrame, limit: int, rows: int) -> DataFrame:
+    """(node, component) of the fingerprints ``fp`` of ``nodes`` that have links."""
+    n, together = bit_statistics(nodes)
+    if not n:
+        return nodes.select(F.col("fp").alias("node"), F.col("fp").alias("component"))
+    chosen = plan(n, together, limit)
+    links = materialise(verified_links(cut_buckets(nodes, probes(nodes, chosen), chosen, limit), limit), "simhash-links")
+    return connected_components(links, rows)
+
+
+def _named(nodes: DataFrame, limit: int, rows: int) -> DataFrame:
+    """``nodes`` (fp, first, n) with ``best``, the smallest ``first`` of the node's component, and whether the node has links.
+
+    Only nodes with links are joined by component.
+    """
+    parts = _components(nodes, limit, rows)
+    linked = materialise(join_unique(nodes, materialise(parts.select(F.col("node").alias("fp"), "component"), "simhash-parts"), ["fp"], "inner", rows), "simhash-linked")
+    best = materialise(linked.groupBy("component").agg(F.min("first").alias("best")), "simhash-best")
+    named = materialise(join_unique(linked, best, ["component"], "inner", rows).select("fp", "best"), "simhash-named")
+    return join_unique(nodes, named, ["fp"], "left", rows).select("fp", "first", "n", F.coalesce("best", "first").alias("best"), F.col("best").isNotNull().alias("linked"))
+
+
+def near_duplicates(docs: DataFrame, limit: int = LIMIT, rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, fp, fingerprint (16 hex digits) and component_id of every row.
 
     A component holds all rows linked by chains of fingerprints at most
     ``limit`` bits apart; its id is its smallest doc_id (null where it has
     none). Null and empty texts have fingerprint zero and link like others;
-    equal texts and repeated rows share a node; an empty table gives no rows.
+    equal texts, ties and repeated rows share a node; a text of any length is
+    hashed whole; columns besides doc_id and text are not looked at whatever
+    their names; an empty table gives no rows. Joins broadcast up to ``rows``
+    rows, beyond it only hot keys.
     """
     marked = materialise(fingerprints(docs), "simhash-fps")
-    nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    n, together = bit_statistics(nodes)
-    if n:
-        links = materialise(verified_links(probes(nodes, plan(n, together, limit)), limit), "simhash-links")
-        parts = connected_components(links)
-        labelled = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    else:
-        labelled = nodes.select("fp", "least", F.col("fp").alias("component"))
-    # only nodes with links can take an id other than their own
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(ids, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = materialise(marked.groupBy("fp").agg(F.struct(F.min("doc_id").alias("id")).alias("first"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    # a null id is no id: it sorts last
+    ordered = nodes.select("fp", "n", F.struct(F.col("first.id").isNull().alias("none"), F.col("first.id").alias("id")).alias("first"))
+    ids = materialise(_named(ordered, limit, rows).select("fp", F.col("best.id").alias("component_id")), "simhash-ids")
+    return join_unique(marked, ids, ["fp"], "inner", rows).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, limit: int = LIMIT, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that with the smallest doc_id.
+
+    Rows without an id come after all others, and rows of equal id by their
+    place, so repeated rows and near copies without an id go like others.
+    Which rows go is decided by a row number that is written with them, never
+    by an id. Null and empty texts are near copies of one another. Other cases
+    are as in ``near_duplicates``.
+    """
+    columns = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+    text_at = columns.index("text")
+    schema = T.StructType([*plain.schema.fields, T.StructField("fp", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(text.as_py()) for text in batch.column(text_at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=schema.names)
+
+    marked = materialise(plain.mapInArrow(run, schema).withColumn("r", F.monotonically_increasing_id()), "simhash-rows")
+    doc_id = F.col(f"_c{columns.index('doc_id')}")
+    first = F.min(F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"), F.col("r"))).alias("first")
+    nodes = materialise(marked.groupBy("fp").agg(first, F.count(F.lit(1)).alias("n")), "simhash-nodes")
+    several = materialise(_named(nodes, limit, rows).filter("linked or n > 1").select("fp", F.col("best.r").alias("kept")), "simhash-several")
+    gone = materialise(join_unique(marked.select("fp", "r"), several, ["fp"], "inner", rows).filter("r <> kept").select("r"), "simhash-gone")
+    few = gone.limit(rows + 1).count() <= rows
+    return marked.join(F.broadcast(gone) if few else gone, "r", "left_anti").select(*plain.columns).toDF(*columns)
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

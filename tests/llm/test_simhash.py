@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -19,16 +20,21 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(rows, limit=4):
-    fps = [brute_fingerprint(t) for _, t in rows]
-    label = list(range(len(rows)))
+def brute_labels(fps, limit=4):
+    label = list(range(len(fps)))
     changed = True
     while changed:
         changed = False
-        for i in range(len(rows)):
-            for j in range(len(rows)):
+        for i in range(len(fps)):
+            for j in range(len(fps)):
                 if (fps[i] ^ fps[j]).bit_count() <= limit and label[j] < label[i]:
                     label[i], changed = label[j], True
+    return label
+
+
+def brute_components(rows, limit=4):
+    fps = [brute_fingerprint(t) for _, t in rows]
+    label = brute_labels(fps, limit)
     ids = {}
     for (doc_id, _), c in zip(rows, label):
         ids.setdefault(c, []).append(doc_id)
@@ -50,6 +56,29 @@ def test_components_against_brute_force(spark):
     assert sorted([(r.doc_id, r.fingerprint, r.component_id) for r in found], key=key) == sorted(brute_components([r[:2] for r in rows]), key=key)
     assert len({r.component_id for r in found}) < len(rows) - 80
     assert S.near_duplicates(frame(spark, [])).count() == 0
+    # beyond the broadcast bound all joins shuffle
+    shuffled = S.near_duplicates(frame(spark, rows), rows=0).collect()
+    assert sorted(map(tuple, shuffled), key=str) == sorted(map(tuple, found), key=str)
+
+
+def test_one_row_of_each_component_stays(spark):
+    words = prose(77, 200).split()
+    near = " ".join(words[:100] + ["Changed"] + words[101:])
+    rows = awkward() + [doc(50, " ".join(words)), doc(None, near), doc(None, " ".join(words)), doc(51, near), doc(8, prose(30, 90)), doc(None, prose(31, 90)), doc(None, prose(31, 90), "de")]
+    assert bin(brute_fingerprint(near) ^ brute_fingerprint(" ".join(words))).count("1") <= 4
+    docs = clashing(frame(spark, rows))
+    for most in (S.BROADCAST_ROWS, 0):
+        kept = S.keep_one(docs, rows=most)
+        assert kept.columns == docs.columns
+        out = kept.collect()
+        labels = brute_labels([brute_fingerprint(r[1]) for r in rows])
+        best = {}
+        for place, (r, label) in enumerate(zip(rows, labels)):
+            best[label] = min(best.get(label, (True, 0, place)), (r[0] is None, r[0] or 0, place))
+        # which of two rows of equal id and text stays can't be told
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == sorted((none, i, rows[place][1] or "") for none, i, place in best.values())
+        assert sum(r.doc_id is None for r in out) == 2 and sum(r.doc_id == 8 for r in out) == 2
+    assert S.keep_one(frame(spark, [])).count() == 0
 
 
 def test_thresholds_meet_the_general_pigeonhole_bound():
@@ -92,6 +121,27 @@ def test_every_plan_finds_every_link(spark):
             assert (a ^ b).bit_count() <= 4
             parent[find(a)] = find(b)
         assert all(find(a) == find(b) for a, b in near)
+        # buckets cut again by their other bits lose no link either
+        cut = S.verified_links(S.cut_buckets(nodes, S.probes(nodes, chosen), chosen, 4, most=2)).collect()
+        whole = connected_components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()
+        again = connected_components(spark.createDataFrame([(r.a, r.b) for r in cut], "a long, b long")).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, whole))
+
+
+def test_expected_pairs_follow_correlated_bits():
+    rng = np.random.default_rng(5)
+    topics = rng.integers(0, 1 << 16, 60)
+    values = topics[rng.integers(0, 60, 1500)] ^ (1 << rng.integers(0, 16, 1500))
+    bits = (values[:, None] >> np.arange(64)) & 1
+    together = (bits.T @ bits).astype(np.int64)
+    n = len(values)
+    own = list(range(16))
+    differ = (bits[:, None, :16] != bits[None, :, :16]).sum(axis=2)
+    for t in (0, 1, 2, 3):
+        real = float((differ <= t).sum())
+        independent = n * n * 2.0**-16 * sum(math.comb(16, k) for k in range(t + 1))
+        found = S.expected_pairs(n, together, own, 4)[t]
+        assert abs(math.log(found / real)) < abs(math.log(independent / real))
 
 
 def test_a_probe_that_joins_two_own_rows_is_not_lost(spark):
@@ -126,6 +176,7 @@ def test_trees_of_a_bucket_join_all_that_own_rows_reach():
 def test_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5, 5), (None, 3), (5000, 1050)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), rows=0, least=3).collect()} == found
     assert all(found[i] == 0 for i in range(201))
     assert all(found[1000 + i] == 1000 for i in range(100)) and found[5000] == 1000
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
