@@ -29,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, pick, table
+from .common import materialise, pick, small, table
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -68,20 +69,31 @@ def statistics(text: str | None) -> tuple[int, int, int, int, int, int]:
     return (n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines))
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base statistics and base_failed of every row; null and empty texts have no words."""
-    frame = pick(docs, "doc_id", "lang", "source", "text")
-    kind = lambda c: frame.schema[c].dataType.simpleString()
-    schema = f"doc_id {kind('doc_id')}, lang {kind('lang')}, source {kind('source')}, " + ", ".join(f"{c} long" for c in COUNTS)
+def _counted(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """All columns of ``docs`` by place (_c0..) with the base statistics, and the places of doc_id, lang and source."""
+    columns = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+    places = [f"_c{columns.index(name)}" for name in ("doc_id", "lang", "source")]
+    text_at = columns.index("text")
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(text.as_py()) for text in batch.column(3)]
-            columns = list(zip(*rows, strict=True)) or [()] * len(COUNTS)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "lang", "source", *COUNTS])
+            rows = [statistics(text.as_py()) for text in batch.column(text_at)]
+            counts = list(zip(*rows, strict=True)) or [()] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in counts)], names=schema.names)
+
+    return plain.mapInArrow(run, schema), places
 
+
+def _base(counted: DataFrame, places: list[str]) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return frame.mapInArrow(run, schema).withColumn("base_failed", failed)
+    return counted.select("*", *(F.col(p).alias(n) for p, n in zip(places, ("doc_id", "lang", "source"), strict=True)), failed.alias("base_failed"))
+
+
+def base_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, the base statistics and base_failed of every row; null and empty texts have no words."""
+    return _base(*_counted(pick(docs, "doc_id", "lang", "source", "text"))).select("doc_id", "lang", "source", *COUNTS, "base_failed")
 
 
 def features() -> list[Column]:
@@ -236,9 +248,9 @@ def _starts(vectors: DataFrame) -> DataFrame:
     return materialise(summed.mapInPandas(run, ESTIMATE_SCHEMA), "mcd-start")
 
 
-def _small(model: DataFrame, rows: int = 20_000) -> DataFrame:
+def _small(model: DataFrame) -> DataFrame:
     """The estimates, broadcast if there are few (some 200 bytes each): else each group's rows would meet in one task."""
-    return F.broadcast(model) if model.limit(rows + 1).count() <= rows else model
+    return small(model, 20_000)
 
 
 def _concentrate(vectors: DataFrame, estimates: DataFrame, share: float, least: float | None = None) -> DataFrame:
@@ -292,31 +304,52 @@ def fit_mcd(stats: DataFrame, share: float = 0.75, steps: int = 5, least_vectors
     limit = chi_square_quantile(0.975, P) * _consistency(share)
     final = _estimates(_concentrate(vectors, chosen, share, least=limit), _consistency(0.975), "mcd-final")
     final = final.join(vectors.groupBy("g").agg(F.count(F.lit(1)).alias("vectors")), "g").drop("n", "s", "logdet").withColumnRenamed("g", "k")
-    return keys.join(_small(materialise(final, "mcd-pool-model")), "k").drop("k")
+    level = F.when(F.col("k").startswith("g"), "group").when(F.col("k").startswith("l"), "language").when(F.col("k") == "a", "all").otherwise(FEW)
+    return keys.join(_small(materialise(final, "mcd-pool-model")), "k").withColumn("level", level).drop("k")
+
+
+def _judged(stats: DataFrame, share: float, steps: int, least_vectors: int, alarm: float) -> DataFrame:
+    """The written statistics with level, distance and kept."""
+    model = _small(materialise(fit_mcd(stats, share, steps, least_vectors), "mcd-model"))
+    cutoff = F.lit(chi_square_quantile(1 - alarm, P))
+    if least_vectors > 1:
+        few = F.array(*(F.lit(small_sample_cutoff(n, alarm)) for n in range(1, least_vectors)))
+        cutoff = F.when(F.col("vectors") < least_vectors, F.get(few, (F.col("vectors") - 1).cast("int"))).otherwise(cutoff)
+    judged = stats.select("*", group_key(), *features()).join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("m0").isNotNull(), _distance()))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
+    return judged.withColumn("kept", kept).withColumn("level", F.when(~F.col("base_failed"), F.col("level")))
 
 
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, least_vectors: int = 50, alarm: float = 1e-9) -> DataFrame:
-    """Statistics and verdict of every row: base_failed, distance (squared) and kept.
+    """Statistics and verdict of every row: base_failed, kept, distance (squared) and level.
 
     A row is kept unless it fails a base rule or its squared distance exceeds
     the chi-square quantile of 1 - ``alarm``. Groups with fewer than
     ``least_vectors`` distinct vectors are judged by their language, languages
     with fewer by all vectors, and where all are fewer by these with the
     cutoff of so small a sample, so every row that passes the base rules has a
-    distance. Null languages and sources form groups of their own, null and
-    empty texts fail the base rules, repeated rows get the same verdict, and
-    an empty table gives no rows.
+    distance; ``level`` says which (group, language, all or few). Null
+    languages and sources form groups of their own, null and empty texts fail
+    the base rules, repeated rows and ties get the same verdict, a text of any
+    length is counted whole, columns besides doc_id, lang, source and text are
+    not looked at whatever their names, and an empty table gives no rows.
     """
     stats = materialise(base_statistics(docs), "quality-stats")
-    model = _small(materialise(fit_mcd(stats, share, steps, least_vectors), "mcd-model"))
-    cutoff = F.lit(chi_square_quantile(1 - alarm, P))
-    if least_vectors > 1:
-        few = F.array(*(F.lit(small_sample_cutoff(n, alarm)) for n in range(1, least_vectors)))
-        cutoff = F.when(F.col("vectors") < least_vectors, F.get(few, (F.col("vectors") - 1).cast("int"))).otherwise(cutoff)
-    kinds = [group_key(), *features()]
-    judged = stats.select("*", *kinds).join(model, "g", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("m0").isNotNull(), _distance()))
-    return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "distance")
+    return _judged(stats, share, steps, least_vectors, alarm).select("doc_id", *COUNTS, "base_failed", "kept", "distance", "level")
+
+
+def keep_good(docs: DataFrame, share: float = 0.75, steps: int = 5, least_vectors: int = 50, alarm: float = 1e-9) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their columns.
+
+    Each row is judged for itself, whatever its id: the rows are written once
+    beside their statistics and filtered there, so no id is joined. Nulls,
+    repeats, long texts, empty tables and clashing columns are as in ``judge``.
+    """
+    counted, places = _counted(docs)
+    stats = _base(materialise(counted, "quality-rows"), places)
+    own = [f"_c{i}" for i in range(len(docs.columns))]
+    return _judged(stats, share, steps, least_vectors, alarm).filter("kept").select(*own).toDF(*docs.columns)
 
 
 def op2_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance", "level")
