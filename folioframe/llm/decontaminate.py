@@ -11,13 +11,16 @@ nothing, whatever the lengths. Sketches are filed by size class, and a
 document looks only into the classes that could fit into it. Candidates are
 verified by the exact number of common shingles.
 
-The items are handed to the workers in blocks of at most ``block_bytes`` of
-text; all documents are searched against each block in turn.
+The items are handed to the workers in blocks of some ``block_bytes`` of text.
+A worker builds the index of a block once and keeps it for all its tasks; one
+pass over the documents searches as many blocks as hold ``pass_bytes``, so a
+benchmark of usual size takes a single pass.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -64,7 +67,8 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]], percent: int, shingle: int) -> None:
         split = [(item_id, words_of(text)) for item_id, text in items]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, words in split for w in words}))}
-        self.items: list[tuple[object, int, frozenset[tuple[int, ...]], int, int]] = []
+        # item_id, number of shingles, their sorted hashes and word numbers, least common ones, least sketch hits
+        self.items: list[tuple[object, int, np.ndarray, np.ndarray, int, int]] = []
         filed: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for item_id, words in split:
             if not words:
@@ -72,14 +76,13 @@ class Index:
             width = min(shingle, len(words))
             ids = np.array([self.vocabulary[w] for w in words], np.int64)
             own = window_hashes(ids, width)
-            first = np.unique(own, return_index=True)[1]
-            shingles = frozenset(tuple(ids[i : i + width].tolist()) for i in first)
-            n = len(shingles)
+            hashes, first = np.unique(own, return_index=True)
+            n = len(hashes)
             need = -(-percent * n // 100)
             hits = min(need, max(1, (1 << size_class(n)) // 8))
-            sketch = np.sort(own[first])[: n - need + hits]
+            sketch = hashes[: n - need + hits]
             number = len(self.items)
-            self.items.append((item_id, n, shingles, need, hits))
+            self.items.append((item_id, n, hashes, ids[first[:, None] + np.arange(width)].astype(np.int32), need, hits))
             filed.setdefault((width, size_class(need)), []).extend((int(h), number) for h in sketch)
         self.classes = []
         for (width, cls), postings in sorted(filed.items()):
@@ -114,63 +117,92 @@ class Index:
                 for i in np.flatnonzero(high > low):
                     for number in owners[low[i] : high[i]].tolist():
                         hits[number] = hits.get(number, 0) + 1
-            candidates = [number for number, n in hits.items() if n >= self.items[number][4]]
+            candidates = [number for number, n in hits.items() if n >= self.items[number][5]]
             if candidates:
-                shingles = {tuple(run) for run in runs[first].tolist()}
+                shingles = runs[first]
                 for number in sorted(candidates):
-                    item_id, n, own, need, _ = self.items[number]
-                    common = len(own & shingles)
+                    item_id, n, own, words_of_own, need, _ = self.items[number]
+                    at = np.searchsorted(hashes, own)
+                    at[at == len(hashes)] = 0
+                    same = hashes[at] == own
+                    common = int((shingles[at[same]] == words_of_own[same]).all(axis=1).sum())
                     if common >= need:
                         found.append((item_id, n, common))
         return found
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, str | None]]]:
-    block: list[tuple[object, str | None]] = []
-    size = 0
+#: Indexes of this worker, by the name of their pass and their number in it.
+_INDEXES: dict[tuple[str, int], Index] = {}
+
+Block = list[tuple[object, str | None]]
+
+
+def _passes(benchmark: DataFrame, block_bytes: int, pass_bytes: int) -> Iterator[list[Block]]:
+    """The items in blocks, as many together as hold ``pass_bytes`` of text; the driver holds one pass at a time."""
+    blocks: list[Block] = []
+    block: Block = []
+    size = total = 0
     for row in pick(benchmark, "item_id", "text").toLocalIterator():
+        if not words_of(row.text):
+            continue
         block.append((row.item_id, row.text))
-        size += len((row.text or "").encode("utf-8", "replace"))
+        size += len(row.text.encode("utf-8", "replace"))
         if size >= block_bytes:
-            yield block
+            blocks.append(block)
+            total += size
             block, size = [], 0
+            if total >= pass_bytes:
+                yield blocks
+                blocks, total = [], 0
     if block:
-        yield block
+        blocks.append(block)
+    if blocks:
+        yield blocks
+
+
+def _indexes(name: str, blocks: list[Block], percent: int, shingle: int) -> list[Index]:
+    """The indexes of a pass, built once in a worker; those of other passes are dropped."""
+    for key in [key for key in _INDEXES if key[0] != name]:
+        del _INDEXES[key]
+    for i, block in enumerate(blocks):
+        if (name, i) not in _INDEXES:
+            _INDEXES[name, i] = Index(block, percent, shingle)
+    return [_INDEXES[name, i] for i in range(len(blocks))]
 
 
-def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int = SHINGLE, block_bytes: int = 8 << 20) -> DataFrame:
+def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int = SHINGLE, block_bytes: int = 8 << 20, pass_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, item_id, n_shingles, n_common and containment of every contained item of every row.
 
     Shingles are ``shingle`` words, in lower case and without punctuation;
     an item of fewer words is one shingle of all its words, looked for as
     such. Null and empty texts and items have no shingles and never match;
-    repeated rows match each; empty tables give no rows.
+    repeated rows match each; of items with equal text each is reported; a
+    text of any length is searched whole; columns besides doc_id, item_id and
+    text are not looked at whatever their names; empty tables give no rows.
     """
     spark = docs.sparkSession
     frame = pick(docs, "doc_id", "text")
     item_type = pick(benchmark, "item_id").schema["item_id"].dataType
     schema = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, n_shingles long, n_common long"
-    results = []
 
-    def searched(block: list[tuple[object, str | None]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
+    def searched(blocks: list[Block]) -> DataFrame:
+        shared, name = spark.sparkContext.broadcast(blocks), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, percent, shingle)
-            kinds = None
+            indexes = _indexes(name, shared.value, percent, shingle)
             for batch in batches:
-                kinds = batch.schema.field(0).type
-                rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in index.search(text.as_py())]
+                rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for index in indexes for hit in index.search(text.as_py())]
                 if rows:
                     a, b, c, d = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, kinds), pa.array(b), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_common"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field(0).type), pa.array(b), pa.array(c, pa.int64()), pa.array(d, pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_common"])
 
         return frame.mapInArrow(run, schema)
 
-    blocks = _blocks(benchmark, block_bytes)
-    waiting = next(blocks, [])
+    results: list[DataFrame] = []
+    passes = _passes(benchmark, block_bytes, pass_bytes)
+    waiting = next(passes, [])
     while waiting:
-        after = next(blocks, [])
+        after = next(passes, [])
         out = searched(waiting)
         results.append(materialise(out, "contained") if after or results else out)
         waiting = after
@@ -182,6 +214,41 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, percent: int = 80, sh
     return every.withColumn("containment", F.col("n_common") / F.col("n_shingles"))
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, percent: int = 80, shingle: int = SHINGLE, block_bytes: int = 8 << 20, pass_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs`` that contain no item of the benchmark, with their columns.
+
+    Each row is searched and kept or dropped for itself, whatever its id, in
+    the pass that reads it. Other cases are as in ``contained_items``.
+    """
+    spark = docs.sparkSession
+    columns, text_at = docs.columns, docs.columns.index("text")
+    left = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
+
+    def cleaned(frame: DataFrame, blocks: list[Block]) -> DataFrame:
+        shared, name = spark.sparkContext.broadcast(blocks), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            indexes = _indexes(name, shared.value, percent, shingle)
+            for batch in batches:
+                clean = []
+                for text in batch.column(text_at):
+                    body = text.as_py()
+                    clean.append(not any(index.search(body) for index in indexes))
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return frame.mapInArrow(run, frame.schema)
+
+    passes = _passes(benchmark, block_bytes, pass_bytes)
+    waiting = next(passes, [])
+    while waiting:
+        after = next(passes, [])
+        left = cleaned(left, waiting)
+        if after:
+            left = materialise(left, "clean")
+        waiting = after
+    return left.toDF(*columns)
+
+
 def op4_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -24,8 +24,8 @@ def brute(docs, items, percent=80):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 300])
-def test_against_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, pass_bytes", [(8 << 20, 32 << 20), (300, 1000)])
+def test_against_brute_force(spark, block_bytes, pass_bytes):
     rng = random.Random(1)
     items = [(i, prose(100 + i, rng.randint(1, 60))) for i in range(40)] + [(90, None), (91, ""), (92, "..."), (93, "Short One"), (94, prose(100, 25)), (None, prose(777, 30))]
     docs = []
@@ -44,8 +44,10 @@ def test_against_brute_force(spark, block_bytes):
             words = (prose(i, 3000) + " " + " ".join(item[: len(item) // 2 + 2]) + " x " + prose(i + 1, 3000) + " " + " ".join(item[len(item) // 2 - 2 :])).split()
         docs.append(doc(i, " ".join(words)))
     docs += [doc(500, "a short one here"), doc(501, prose(777, 30))]
-    found = D.contained_items(frame(spark, docs), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes).collect()
+    found = D.contained_items(frame(spark, docs), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes, pass_bytes=pass_bytes).collect()
     assert {(r.doc_id, r.item_id, r.n_shingles, r.n_common) for r in found} == brute([d[:2] for d in docs], items)
+    clean = D.keep_clean(frame(spark, docs), spark.createDataFrame(items, ITEMS), block_bytes=block_bytes, pass_bytes=pass_bytes).collect()
+    assert sorted(r.doc_id for r in clean) == sorted({d[0] for d in docs} - {r.doc_id for r in found})
     assert len(found) > 40 and len(found) == len({(r.doc_id, r.item_id) for r in found})
 
 
@@ -56,3 +58,7 @@ def test_awkward_rows(spark):
     assert {(r.doc_id, r.item_id, r.n_shingles, r.n_common) for r in found} == brute([d[:2] for d in awkward()], items)
     assert D.contained_items(frame(spark, []), spark.createDataFrame(items, ITEMS)).count() == 0
     assert D.contained_items(frame(spark), spark.createDataFrame([], ITEMS)).count() == 0
+    docs = clashing(frame(spark))
+    clean = D.keep_clean(docs, spark.createDataFrame(items, ITEMS))
+    assert clean.columns == docs.columns and clean.count() == 12 - 3
+    assert D.keep_clean(docs, spark.createDataFrame([], ITEMS)).count() == 12 and D.keep_clean(frame(spark, []), spark.createDataFrame(items, ITEMS)).count() == 0
