@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pick, table
 
@@ -161,6 +162,16 @@ class Pieces:
         raw = b"".join(map(self.output.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
+    def decode_any(self, ids: list[int | None]) -> tuple[str, bool]:
+        """The text of any row of ids, and whether some of it had to be left out or replaced."""
+        known = [i for i in ids if i is not None and 0 <= i < len(self.output)]
+        raw = b"".join(map(self.output.__getitem__, known))
+        raw = raw[1:] if raw[:1] == b" " else raw
+        try:
+            return raw.decode("utf-8"), len(known) < len(ids)
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace"), True
+
 
 _LOADED: dict[str, Pieces] = {}
 
@@ -593,7 +604,10 @@ def sample_segmentations(docs: DataFrame, samples: int = 2, seed: int = 0, model
     round_trip (the ids decode to the text). Texts with fewer segmentations
     give them all, with log_inclusion 0. Null and empty texts have one, of no
     pieces. Rows with equal key and text give equal rows; a row without a key
-    is seeded by its text; an empty table gives no rows.
+    is seeded by its text; ties of the perturbed values don't occur but by
+    equal paths, which come out once; a text of any length is sampled whole;
+    columns besides doc_id and text are not looked at whatever their names; an
+    empty table gives no rows. ``decode_ids`` gives the texts back.
     """
     frame = pick(docs, "doc_id", "text")
     schema = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
@@ -630,8 +644,36 @@ def sample_segmentations(docs: DataFrame, samples: int = 2, seed: int = 0, model
     return frame.mapInArrow(run, schema)
 
 
+def decode_ids(frame: DataFrame, model: str = MODEL) -> DataFrame:
+    """The rows of ``frame``, which has a column ids (array of int), with two more: decoded and broken.
+
+    ``decoded`` is the text that the ids stand for: pieces joined, byte pieces
+    read as UTF-8, the space put before the text taken off. Bytes that are not
+    whole UTF-8 become U+FFFD each, ids outside the vocabulary and null ids
+    stand for nothing, and ``broken`` says whether either occurred. Null ids
+    (no array) give a null text, an empty array an empty one, neither broken.
+    Rows of any length are decoded whole, repeated rows each; an empty table
+    gives no rows; other columns pass, unless they are named decoded or broken.
+    """
+    columns = frame.columns
+    plain = frame.toDF(*[f"_c{i}" for i in range(len(columns))])
+    at = columns.index("ids")
+    schema = T.StructType([*plain.schema.fields, T.StructField("decoded", T.StringType()), T.StructField("broken", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pieces_at(model)
+        for batch in batches:
+            found = [(None, False) if ids.as_py() is None else pieces.decode_any(ids.as_py()) for ids in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.bool_())], names=schema.names)
+
+    out = plain.mapInArrow(run, schema)
+    kept = [(i, name) for i, name in enumerate(columns) if name not in ("decoded", "broken")]
+    return out.select(*[F.col(f"_c{i}").alias(name) for i, name in kept], "decoded", "broken")
+
+
 def digests(sampled: DataFrame) -> DataFrame:
-    return sampled.select("doc_id", "sample", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", "round_trip")
+    """The segmentations with the number and a hash of their ids; null and repeated rows give rows like others."""
+    return sampled.select("doc_id", "sample", "ids", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", "round_trip")
 
 
 def op1_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
-from folioframe.llm.pieces import Pieces, cells_of, sample_chunk, sample_segmentations
+from folioframe.llm.pieces import Pieces, cells_of, decode_ids, sample_chunk, sample_segmentations
 
 from .helpers import awkward, clashing, frame
 
@@ -101,3 +101,21 @@ def test_awkward_rows(spark):
     assert len(by_id[8]) == 4 and len({tuple(r.ids) for r in by_id[8]}) == 2
     assert len(by_id[None]) == 2
     assert sample_segmentations(frame(spark, [])).count() == 0
+
+
+def test_decoding_gives_the_texts_back(spark, pieces):
+    sampled = sample_segmentations(frame(spark, [r for r in awkward() if r[0] is not None]))
+    texts = {r[0]: r[1] or "" for r in awkward()}
+    out = decode_ids(sampled).collect()
+    assert out and all(r.decoded == texts[r.doc_id] and not r.broken for r in out)
+
+
+def test_decoding_of_ids_that_stand_for_no_text(spark, pieces):
+    part = pieces.bytes_for("é").tolist()
+    rows = [(1, None), (2, []), (3, part), (4, part[:1]), (5, [-1, *part, 10**8]), (6, [None, *part]), (7, part[1:] + part), (3, part), (8, part * 50000)]
+    data = spark.createDataFrame([(i, x, "z", 7) for i, x in rows], "k int, ids array<int>, decoded string, IDS_ int").toDF("k", "ids", "decoded", "IDS")
+    found = decode_ids(data)
+    assert found.columns == ["k", "ids", "IDS", "decoded", "broken"]
+    out = {r[0]: (r[3], r[4]) for r in found.collect()}
+    assert out == {1: (None, False), 2: ("", False), 3: ("é", False), 4: ("\ufffd", True), 5: ("é", True), 6: ("é", True), 7: ("\ufffdé", True), 8: ("é" * 50000, False)}
+    assert len(found.collect()) == 9 and decode_ids(data.limit(0)).count() == 0
