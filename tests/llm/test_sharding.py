@@ -1,7 +1,9 @@
 import zlib
 from collections import defaultdict
 
-from folioframe.llm.sharding import shard_documents
+import pytest
+from folioframe.llm.common import materialise
+from folioframe.llm.sharding import _unsigned, find_splitters, keyed, shard_documents
 
 from .helpers import awkward, clashing, doc, frame, prose
 
@@ -67,6 +69,44 @@ def test_awkward_rows(spark):
     check(rows, [r[:2] for r in awkward()], 4)
     assert {r.text for r in rows} == {r[1] for r in awkward()}
     assert shard_documents(frame(spark, []), 4).count() == 0
-    same = shard_documents(frame(spark, [doc(1, "x")] * 20), 4).collect()
-    check(same, [(1, "x")] * 20, 4)
-    assert len({r.shard for r in same}) == 1  # equal keys share a range
+    long = [doc(1, "x" * 300000), *(doc(i, prose(i, 20)) for i in range(2, 60))]
+    check(shard_documents(frame(spark, long), 4).collect(), [d[:2] for d in long], 4)
+
+
+@pytest.mark.parametrize("rows", [[doc(1, "the same")] * 800, [doc(None, "x " * 50)] * 800, [doc(None, None)] * 400, [doc(3, "a")] * 300 + [doc(None, prose(5, 40))] * 700 + [doc(i, prose(i, 40)) for i in range(300)]])
+def test_equal_rows_are_cut_like_others(spark, rows):
+    out = shard_documents(frame(spark, rows), 16, 0.01).collect()
+    check(out, [r[:2] for r in rows], 16)
+    sizes = [sum(r.size for r in own) for own in shards_of(out).values()]
+    largest = max(r.size for r in out)
+    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 2 * (0.01 * sum(sizes) / 16 + largest)
+
+
+def brute_splitters(keys, shards):
+    """For each target the two boundaries between sorted keys that enclose it, as bytes and rows below."""
+    ordered = sorted(keys)
+    total = sum(size for *_, size in ordered)
+    below, n, places = 0, 0, [(0, 0)]
+    for *_, size in ordered:
+        below, n = below + size, n + 1
+        places.append((below, n))
+    out = []
+    for i in range(1, shards):
+        aim = total * i / shards
+        out.append((max(p for p in places if p[0] <= aim), min(p for p in places if p[0] >= aim)))
+    return total, places, out
+
+
+@pytest.mark.parametrize("rows", [[doc(i, prose(i % 90, 5 + i % 60)) for i in range(400)], [doc(i % 3, "copy of a copy") for i in range(300)] + [doc(None, prose(i, 300)) for i in range(9)]])
+def test_splitters_against_brute_force(spark, rows):
+    keys = materialise(keyed(frame(spark, rows)), "keys")
+    found = find_splitters(keys, 7, 0.02, 1 << 30, 64)
+    plain = [tuple(_unsigned(k) for k in (r.k1, r.k2, r.k3)) + (r.size,) for r in keys.collect()]
+    total, places, around = brute_splitters(plain, 7)
+    for bound, n, (low, high) in zip(found.bounds, found.rows_below, around):
+        mine = [k for k in plain if k[:3] < bound]
+        assert len(mine) == n  # the counts are those of the boundary
+        below = sum(k[3] for k in mine)
+        assert (below, n) in places  # the boundary lies between keys
+        aim = total * (found.bounds.index(bound) + 1) / 7
+        assert abs(below - aim) <= max(0.02 * total / 7, min(aim - low[0], high[0] - aim))
