@@ -9,65 +9,62 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folioframe.llm.common import materialise, table
-from folioframe.llm.decontaminate import contained_items
+from folioframe.llm.decontaminate import keep_clean
 from folioframe.llm.pieces import digests, sample_segmentations
-from folioframe.llm.quality import judge
+from folioframe.llm.quality import keep_good
 from folioframe.llm.secrets import redact
-from folioframe.llm.simhash import near_duplicates
-
-#: Most ids to broadcast (about 50 bytes each); beyond it the documents are shuffled by id.
-BROADCAST_IDS = 500_000
-
-
-def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id isn't among ``ids``; a null id is one id. Other columns pass whatever their names."""
-    columns = docs.columns
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
-    dropped = materialise(ids.toDF("_drop").distinct(), "dropped-ids")
-    if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        dropped = F.broadcast(dropped)
-    return plain.join(dropped, F.col(f"_c{columns.index('doc_id')}").eqNullSafe(F.col("_drop")), "left_anti").toDF(*columns)
+from folioframe.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base rule or lie far from their language and source go."""
-    return drop_ids(docs, judge(docs).filter(~F.col("kept")).select("doc_id"))
+    """Rows that fail a base rule or lie far from their language and source go, each judged for itself.
+
+    Null and empty texts fail; null languages and sources are groups of their
+    own; rows that share an id, or have none, don't share a verdict; repeated
+    rows and ties do; an empty table gives none; other columns pass whatever
+    their names, long texts whole.
+    """
+    return keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays.
+    """Of each component of near copies the row with the smallest id stays, of equal ids one.
 
-    Rows that repeat an id stay once for each text; rows without an id go
-    only where another row has the same text and no id.
+    Rows without an id come after all others of their component. Null and
+    empty texts are copies of one another; an empty table gives none; other
+    columns pass whatever their names, long texts whole.
     """
-    marked = near_duplicates(docs)
-    kept = drop_ids(docs, marked.filter("doc_id is not null and not (doc_id <=> component_id)").select("doc_id"))
-    columns = kept.columns
-    key, text = f"_c{columns.index('doc_id')}", f"_c{columns.index('text')}"
-    plain = kept.toDF(*[f"_c{i}" for i in range(len(columns))])
-    repeated = materialise(plain.groupBy(key).count().filter("count > 1").select(F.col(key).alias("_again")), "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    once = plain.join(repeated, F.col(key).eqNullSafe(F.col("_again")), "left_anti")
-    again = plain.join(repeated, F.col(key).eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([key, text])
-    return once.unionByName(again).toDF(*columns)
+    return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    return drop_ids(docs, contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    """Rows that contain a benchmark item go, each searched for itself.
+
+    Null and empty texts and items contain nothing; rows that share an id, or
+    have none, don't share a verdict; empty tables change nothing; other
+    columns pass whatever their names, long texts whole.
+    """
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def remove_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets and linked credentials are replaced by their kind in brackets."""
+    """Secrets and linked credentials are replaced by their kind in brackets; all rows stay.
+
+    Null and empty texts stay as they are; repeated rows are each redacted; an
+    empty table gives none; other columns pass whatever their names, long texts whole.
+    """
     return redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of each document that is left."""
+    """Two sampled segmentations, as token ids, of each row that is left.
+
+    Null and empty texts have one, of no ids; rows with equal id and text have
+    equal ones; a row without an id is seeded by its text; an empty table gives
+    none; other columns are not looked at, long texts are encoded whole.
+    """
     return digests(sample_segmentations(docs))
 
 
