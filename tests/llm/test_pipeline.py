@@ -8,7 +8,7 @@ from folioframe.llm.pieces import Pieces, sample_chunk
 
 from .helpers import DOCS, awkward, doc, prose
 from .test_quality import brute_statistics
-from .test_simhash import brute_components
+from .test_simhash import brute_fingerprint, brute_labels
 
 ITEM = prose(4321, 25)
 
@@ -19,6 +19,14 @@ def documents():
     return rows + [doc(63, prose(20, 60) + " coda"), doc(64, prose(25, 65))]
 
 
+def one_of_each(rows):
+    """Of each component the row with the smallest id, none last, then the first."""
+    best = {}
+    for place, (r, label) in enumerate(zip(rows, brute_labels([brute_fingerprint(r[1]) for r in rows]))):
+        best[label] = min(best.get(label, (True, 0, len(rows))), (r[0] is None, r[0] or 0, place))
+    return [rows[place] for place in sorted(place for _, _, place in best.values())]
+
+
 def test_stages_against_brute_force(spark, tmp_path):
     folder = str(tmp_path)
     spark.createDataFrame(documents(), DOCS).write.parquet(os.path.join(folder, "documents.parquet"))
@@ -26,12 +34,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     found = corpus_pipeline.run(spark, folder).collect()
 
     rows = []
-    for r in documents():  # groups here are too small for an estimate, so the base rules alone decide
+    for r in documents():  # none of these lies far from the others, so the base rules alone decide
         s = brute_statistics(r[1])
         if s[0] >= 10 and 100 * s[4] <= 20 * s[0]:
             rows.append(r[:2])
-    rows = [r for r, (_, _, c) in zip(rows, brute_components(rows)) if r[0] is None or r[0] == c]
-    rows = list(dict.fromkeys(rows))
+    rows = one_of_each(rows)
     item = D.words_of(ITEM)
     shingles = {tuple(item[i : i + 5]) for i in range(len(item) - 4)}
     rows = [r for r in rows if 100 * len(shingles & {tuple(D.words_of(r[1])[i : i + 5]) for i in range(len(D.words_of(r[1])))}) < 80 * len(shingles)]
@@ -40,8 +47,9 @@ def test_stages_against_brute_force(spark, tmp_path):
     expected = {}
     for i, t in rows:
         for _, rank, ids, log_prob, value, inclusion, ok in sample_chunk(pieces, [i], [t], 2, 0):
-            expected[i, rank] = (len(ids), log_prob, value, inclusion, ok)
-    assert {(r.doc_id, r.sample): (r.n_ids, r.log_prob, r.perturbed, r.log_inclusion, r.round_trip) for r in found} == expected
+            expected[i, rank] = (ids.tolist(), log_prob, value, inclusion, ok)
+    assert {(r.doc_id, r.sample): (r.ids, r.log_prob, r.perturbed, r.log_inclusion, r.round_trip) for r in found} == expected
+    assert {pieces.decode(r.ids) for r in found} == {t for _, t in rows}
     kept = {i for i, _ in expected}
     assert {60, 62, 64, 2, 4, 5, 10}.isdisjoint(kept) and {1, 7, 8, 9, 61, None} <= kept
 
@@ -59,11 +67,19 @@ def test_stages_keep_columns_and_take_empty_input(spark, tmp_path):
     assert corpus_pipeline.run(spark, folder).count() == 0
 
 
-def test_a_shuffled_drop_gives_the_same(spark, monkeypatch):
-    docs, ids = spark.createDataFrame(documents(), DOCS), spark.createDataFrame([(1,), (None,), (60,)], "doc_id long")
-    one = sorted(map(str, corpus_pipeline.drop_ids(docs, ids).collect()))
-    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
-    assert sorted(map(str, corpus_pipeline.drop_ids(docs, ids).collect())) == one and len(one) == len(documents()) - 3
+def test_rows_that_share_an_id_or_have_none_do_not_share_a_verdict(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(os.path.join(folder, "benchmark.parquet"))
+    good = [doc(i, prose(200 + place, 70)) for place, i in enumerate((None, None, 5, 6, 6))]
+    short = [doc(None, "too short"), doc(5, None), doc(6, "")]
+    leaks = [doc(None, prose(300, 40) + " " + ITEM), doc(5, ITEM), doc(6, prose(301, 30) + " " + ITEM)]
+    left = lambda rows: sorted(((r[0] is None, r[0] or 0, r[1]) for r in rows))
+    out = corpus_pipeline.quality_rules(spark, spark.createDataFrame(good + short, DOCS), folder).collect()
+    assert left(out) == left(good)
+    out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(good + leaks, DOCS), folder).collect()
+    assert left(out) == left(good)
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(good + good + [doc(9, good[0][1])], DOCS), folder).collect()
+    assert left(out) == left([doc(9, good[0][1])] + good[1:])
 
 
 def test_catalogue_names():
