@@ -4,8 +4,9 @@ Three strong kinds (assign, access, hex) are found by pattern alone. Three
 weak kinds, an account identifier, a bare random-looking token and a service
 endpoint, are far too common to report by themselves. Each text is cut into
 scopes (paragraphs ended by an empty line); within a scope the parts'
-intervals, widened by ``reach`` code points, are joined, and a weak part is
-reported only when it meets a complementary part:
+intervals are joined, and a weak part is reported only when it meets a
+complementary part, anywhere in the scope or, if ``reach`` is given, at most
+so many code points away:
 
 * a token meets an identifier or an endpoint,
 * an identifier meets a token or a strong assign or hex secret,
@@ -32,14 +33,13 @@ from .common import pick, table
 
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
 STRONG = 3
-REACH = 200
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9])(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}""", re.IGNORECASE | re.ASCII)
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""")
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")  # a value: what stands before an = is a name
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])([0-9+.-]*)[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]+""")  # from the first letter of a run on
 ASSIGN_HINTS = ("passw", "secret", "token", "key")
 IDENTIFIER_HINTS = ("user", "login", "_id", "-id", "keyid", "clientid", "accountid")
 SCOPE_END = re.compile(r"\n[\x20\t\r]*\n")
@@ -86,7 +86,7 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     """Weak spans that overlap no strong one; none are looked for where no link is possible."""
     low = text.lower()
     named = any(hint in low for hint in IDENTIFIER_HINTS)
-    endpoints = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    endpoints = [(m.end(1), 5, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text else []
     if not (named or endpoints or any(kind == 1 for _, kind, _ in base)):
         return []
     found = endpoints + ([(m.start(), 3, m.end()) for m in IDENTIFIER.finditer(text)] if named else [])
@@ -96,7 +96,7 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     return [span for span in found if not strong.meets(span[0], span[2])]
 
 
-def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
+def linked(text: str, base: list[Span], reach: int | None = None) -> list[Span]:
     """The weak spans that meet complementary parts within their scope."""
     weak = weak_parts(text, base)
     if not weak:
@@ -108,15 +108,17 @@ def linked(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     for span in weak:
         start, kind, end = span
         scope = bisect.bisect_right(ends, start)
-        low = max(start - reach - 1, ends[scope - 1] if scope else -1)
-        high = min(end + reach + 1, ends[scope] if scope < len(ends) else len(text) + 1)
+        low = ends[scope - 1] if scope else -1
+        high = ends[scope] if scope < len(ends) else len(text) + 1
+        if reach is not None:
+            low, high = max(start - reach - 1, low), min(end + reach + 1, high)
         secret, who, where = (cover.meets(low, high) for cover in (secrets, names, endpoints))
         if (kind == 4 and (who or where)) or (kind == 3 and secret) or (kind == 5 and who and secret):
             kept.append(span)
     return kept
 
 
-def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span]]:
+def scan(text: str | None, reach: int | None = None) -> tuple[list[Span], list[Span]]:
     """All strong spans, and strong and linked weak spans together, both in order. Null is an empty text."""
     if not text:
         return [], []
@@ -128,12 +130,14 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def find_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, counts of the strong kinds, their digest, and all spans.
 
     Offsets are code points, ends exclusive. Null and empty texts have no
-    spans (the digest of an empty string), repeated rows are each scanned,
-    an empty table gives no rows, and other columns are not looked at.
+    spans (the digest of an empty string), spans of equal start are in the
+    order of KINDS, repeated rows are each scanned, a text of any length is
+    scanned whole in time proportional to it, an empty table gives no rows,
+    and other columns are not looked at whatever their names.
     """
     frame = pick(docs, "doc_id", "text")
     schema = f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -156,7 +160,7 @@ def find_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def redacted(text: str | None, reach: int = REACH) -> str | None:
+def redacted(text: str | None, reach: int | None = None) -> str | None:
     """The text with every reported span but endpoints replaced by its kind in brackets; overlaps become one."""
     spans = [span for span in scan(text, reach)[1] if span[1] != 5]
     if not spans:
@@ -176,11 +180,15 @@ def redacted(text: str | None, reach: int = REACH) -> str | None:
     return "".join(out) + text[at:]
 
 
-def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The same rows and columns with redacted texts; ``n_chars``, where there is one, counts the new text."""
+def redact(docs: DataFrame, reach: int | None = None) -> DataFrame:
+    """The same rows and columns with redacted texts; ``n_chars``, where there is one, counts the new text.
+
+    Null texts stay null, with a null n_chars. Other cases are as in ``find_secrets``.
+    """
     columns = docs.columns
     text_at = columns.index("text")
     chars_at = columns.index("n_chars") if "n_chars" in columns else None
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,7 +199,7 @@ def redact(docs: DataFrame, reach: int = REACH) -> DataFrame:
                 arrays[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.column(chars_at).type)
             yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*columns)
 
 
 def op8_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
