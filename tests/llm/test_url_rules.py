@@ -1,7 +1,9 @@
+import math
 from collections import Counter
 from itertools import combinations
 
 import pytest
+from folioframe.llm import url_rules
 from folioframe.llm.url_rules import RULES, judge_urls, mine, split_url, tokens
 from pyspark.sql import functions as F
 
@@ -47,6 +49,10 @@ def spam_pages():
     return rows, labels
 
 
+def wilson(p, n, z=2.0):
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def brute_rules(rows, least, confidence, lift):
     n, bad = len(rows), sum(b for _, b in rows)
     seen, with_bad = Counter(), Counter()
@@ -55,23 +61,30 @@ def brute_rules(rows, least, confidence, lift):
             for some in combinations(sorted(items), k):
                 seen[some] += 1
                 with_bad[some] += b
-    rules = {s: with_bad[s] / seen[s] for s in seen if with_bad[s] >= least and with_bad[s] / seen[s] >= max(confidence, lift * bad / n)}
-    return {s for s, c in rules.items() if not any(set(o) < set(s) and rules[o] >= c for o in rules)}
+    sure = {s: wilson(with_bad[s] / seen[s], seen[s]) for s in seen if with_bad[s] >= least}
+    rules = {s: c for s, c in sure.items() if c > max(confidence, lift * bad / n)}
+    return {s for s, c in rules.items() if not any(set(o) < set(s) and rules[o] >= c - 1e-12 for o in rules)}
 
 
-def test_mined_rules_against_brute_force(spark):
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_mined_rules_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_rules, "BROADCAST_TOKENS", most)
+    monkeypatch.setattr(url_rules, "BROADCAST_SETS", most)
     rows, labels = spam_pages()
     pages = spark.createDataFrame(rows, PAGES)
     items = {r.page_id: r["items"] for r in split_url(pages).select("page_id", tokens().alias("items")).collect()}
     labelled = [(items[i], not quality) for i, quality, _ in labels]
-    found = mine(spark.createDataFrame(labelled, "items array<string>, bad boolean"), 0.0, 20, 0.6, 2.0).collect()
-    expected = brute_rules(labelled, 20, 0.6, 2.0)
+    found = mine(spark.createDataFrame(labelled, "items array<string>, bad boolean"), 0.0, 20, 0.5, 1.5).collect()
+    expected = brute_rules(labelled, 20, 0.5, 1.5)
     assert {tuple(r["items"]) for r in found} == expected and expected
-    out = judge_urls(pages, spark.createDataFrame(labels, LABELS), rules=(), support=0.0).collect()
+    judged = judge_urls(pages, spark.createDataFrame(labels, LABELS), rules=(), support=0.0)
+    assert "NestedLoop" not in judged._jdf.queryExecution().toString()
+    out = judged.collect()
     for r in out:
         blocked = any(set(rule) <= set(items[r.page_id]) for rule in expected)
         assert r.verdict == ("block" if blocked else "allow")
         assert len(r.mined or []) == sum(set(rule) <= set(items[r.page_id]) for rule in expected)
+    assert 0 < sum(len(r.mined or []) > 0 for r in out) < len(out)
 
 
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0)], [(1, 0, 1), (None, 0, 0), (2, None, None)]])
