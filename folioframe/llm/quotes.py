@@ -8,7 +8,10 @@ quote. Threads are resolved by pointer doubling, and the messages are
 returned in reply order with the quotes taken out.
 
 The originals are reduced to one turn for each (conversation, hash) before
-the join, so a passage that a third of all messages repeats meets one row.
+the join, so a passage that a third of all messages repeats meets one row; and
+where many messages quote one passage, or answer in one thread, its row is
+broadcast (``join_unique``), so that no hot passage, thread or repeated message
+meets in one task. The last sort tells equal rows apart by a row number.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, table
+from .common import BROADCAST_ROWS, join_unique, materialise, pick, table
 
 QUOTED = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
-SAID = re.compile(r"\s*(?:On|Am|Le|El)\s.{1,300}\s(?:wrote|schrieb.*|a écrit|escribió)\s*:\s*")
 WHOLE = 1_000_000
 
 
@@ -50,6 +52,15 @@ def passages(text: str | None) -> list[tuple[int, list[str]]]:
     return found
 
 
+def introduces(line: str) -> bool:
+    """Whether a line, of any length, announces a quote: "On ... wrote:" and its like in four languages."""
+    body = line.strip()
+    words = body[:-1].split() if body.endswith(":") else []
+    if len(words) < 3 or words[0] not in ("On", "Am", "Le", "El"):
+        return False
+    return words[-1] in ("wrote", "escribió") or (len(words) > 3 and words[-2:] == ["a", "écrit"]) or any(w.startswith("schrieb") for w in words[2:])
+
+
 def unquoted(found: list[tuple[int, list[str]]]) -> str:
     """The author's own lines; a line that introduces a quote ("On ... wrote:") goes with it."""
     own: list[str] = []
@@ -60,7 +71,7 @@ def unquoted(found: list[tuple[int, list[str]]]) -> str:
         if i + 1 < len(found):
             while kept and not kept[-1].strip():
                 kept.pop()
-            if kept and SAID.fullmatch(kept[-1]):
+            if kept and introduces(kept[-1]):
                 kept.pop()
         own += kept
     return "\n".join(own).strip("\n") if len(found) > 1 or (found and found[0][0]) else "\n".join(own)
@@ -107,40 +118,43 @@ def _conversation() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("c")
 
 
-def threads(parents: DataFrame) -> DataFrame:
-    """(c, turn, root, depth) of every message that has a parent, from (c, turn, parent) with parent < turn."""
+def threads(parents: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(c, turn, root, depth) of every message that has a parent, from (c, turn, parent) with parent < turn, unique by c and turn."""
     state = materialise(parents.select("c", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
     while True:
         above = state.select("c", F.col("turn").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"))
-        joined = state.join(above, ["c", "root"], "left")
+        joined = join_unique(state, above, ["c", "root"], "left", rows)
         state = materialise(joined.select("c", "turn", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("higher").isNotNull().alias("moved")), "threads")
         if state.filter("moved").isEmpty():
             return state.drop("moved")
         state = state.drop("moved")
 
 
-def link_quotations(messages: DataFrame) -> DataFrame:
+def link_quotations(messages: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every message without its quotes, in reply order: by conversation, thread root, depth and turn.
 
     Columns: conv_id, turn, role, text (the author's own words), n_quotes
     (quoted passages), n_linked (those whose original was found), levels (the
     deepest quote), parent_turn, root_turn, reply_depth. A message with no
-    linked quote is the root of its own thread. Messages without a turn are
-    neither originals nor replies; null texts stay null and say nothing; null
-    conversations form one; repeated rows are each returned; an empty table
-    gives no rows.
+    linked quote is the root of its own thread. Of originals that tie the
+    earliest wins, of quotes of one level the first. Messages without a turn
+    are neither originals nor replies; null texts stay null and say nothing,
+    empty ones say nothing; null conversations form one; repeated rows are
+    each returned; a message of any length is read whole; columns that aren't
+    named here are not looked at whatever their names; an empty table gives no
+    rows. Joins broadcast up to ``rows`` rows, beyond it only hot keys.
     """
     parsed = materialise(parsed_messages(messages).withColumn("c", _conversation()).withColumn("m", F.xxhash64("c", "turn", "quotes")), "messages")
-    first = parsed.filter("turn is not null").select("c", "turn", F.explode("said").alias("h")).groupBy("c", "h").agg(F.min("turn").alias("origin"))
+    first = materialise(parsed.filter("turn is not null").select("c", "turn", F.explode("said").alias("h")).groupBy("c", "h").agg(F.min("turn").alias("origin")), "said-first")
     quoting = parsed.filter("turn is not null and size(quotes) > 0").select("c", "turn", "m", "quotes").distinct()
     wanted = quoting.select("c", "turn", "m", F.posexplode("quotes").alias("no", "q")).select("c", "turn", "m", "no", F.col("q.level").alias("level"), F.explode("q.parts").alias("part")).select("c", "turn", "m", "no", "level", "part.h", "part.weight")
-    met = wanted.join(first, ["c", "h"]).filter("origin < turn")
+    met = join_unique(materialise(wanted, "quoted"), first, ["c", "h"], "inner", rows).filter("origin < turn")
     votes = met.groupBy("c", "turn", "m", "no", "level", "origin").agg(F.sum("weight").alias("weight"))
     linked = votes.groupBy("c", "turn", "m", "no", "level").agg(F.max_by("origin", F.struct("weight", -F.col("origin"))).alias("origin"))
     chosen = materialise(linked.groupBy("c", "turn", "m").agg(F.min_by("origin", F.struct("level", "no")).alias("parent"), F.count(F.lit(1)).alias("n_linked")), "parents")
-    rooted = threads(chosen.groupBy("c", "turn").agg(F.min("parent").alias("parent")))
-    replies = chosen.join(rooted, ["c", "turn"], "left").select("m", F.col("parent").alias("parent_turn"), "n_linked", F.col("root").alias("root_turn"), F.col("depth").alias("reply_depth"))
-    whole = parsed.join(replies, "m", "left").select(
+    rooted = threads(chosen.groupBy("c", "turn").agg(F.min("parent").alias("parent")), rows)
+    replies = join_unique(chosen, rooted, ["c", "turn"], "left", rows).select("m", F.col("parent").alias("parent_turn"), "n_linked", F.col("root").alias("root_turn"), F.col("depth").alias("reply_depth"))
+    whole = join_unique(parsed, materialise(replies, "replies"), ["m"], "left", rows).select(
         "conv_id",
         "turn",
         "role",
@@ -151,8 +165,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
         "parent_turn",
         F.coalesce("root_turn", "turn").alias("root_turn"),
         F.coalesce("reply_depth", F.lit(0)).cast("long").alias("reply_depth"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    return whole.orderBy("conv_id", "root_turn", "reply_depth", "turn")
+    return whole.orderBy("conv_id", "root_turn", "reply_depth", "turn", "place").drop("place")
 
 
 def op6_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,10 @@
-from folioframe.llm.quotes import link_quotations, passages, threads, unquoted
+import random
+import re
+import time
+from collections import Counter
+
+import pytest
+from folioframe.llm.quotes import introduces, link_quotations, passages, threads, unquoted
 from pyspark.sql import functions as F
 
 MESSAGES = "conv_id long, turn long, role string, text string"
@@ -53,3 +59,102 @@ def test_first_speaker_is_the_original_even_if_all_repeat_it(spark):
 def test_long_chains(spark):
     links = spark.createDataFrame([("=1", i, i - 1) for i in range(1, 300)], "c string, turn long, parent long")
     assert {(r.turn, r.root, r.depth) for r in threads(links).collect()} == {(i, 0, i) for i in range(1, 300)}
+
+
+def test_lines_that_introduce_a_quote():
+    yes = ["On Monday, Ann wrote:", " On " + "x " * 5000 + "wrote :", "Am 3. Mai schrieb Jo Doe:", "Le 3 mai Ann a écrit :", "El lunes Ana escribió:"]
+    no = ["On wrote:", "On Monday Ann wrote", "Then Ann wrote:", "Le 3 mai Ann écrit:", "", ":", "schrieb Am x:"]
+    assert all(map(introduces, yes)) and not any(map(introduces, no))
+
+
+def test_long_messages():
+    for text in ("> " * 300_000 + "x", ">" * 500_000, "> a\n" * 200_000, "On " * 300_000 + ":\n> x", "Am " + "schrieb " * 200_000 + "\n> x", " \t" * 300_000, "\n" * 500_000):
+        began = time.time()
+        unquoted(passages(text))
+        assert time.time() - began < 10
+
+
+def brute_links(rows):
+    """Parent, root and depth of each (conv, turn), with plain texts in place of hashes and no joins."""
+    plain = lambda t: " ".join(t.casefold().split())
+
+    def split(text):
+        runs = []
+        for line in (text or "").split("\n"):
+            level, rest = 0, line.lstrip(" \t")
+            if not rest.startswith(">"):
+                rest = line
+            while level == 0 and rest.startswith(">") or level and rest.startswith(">"):
+                level, rest = level + 1, rest[1:]
+                if rest[:1] in (" ", "\t"):
+                    rest = rest[1:]
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(rest)
+        return runs
+
+    said, quotes = {}, {}
+    for conv, turn, _, text in rows:
+        if turn is None:
+            continue
+        runs = split(text)
+        pieces = [lines for level, lines in runs if not level]
+        mine = unquoted([(level, list(lines)) for level, lines in runs])
+        pieces += [block.split("\n") for block in re.split(r"\n\s*\n", mine)] + [mine.split("\n")]
+        own = {plain(" ".join(lines)) for lines in pieces} | {plain(line) for lines in pieces for line in lines}
+        said.setdefault((conv, turn), set()).update(own - {""})
+        quotes.setdefault((conv, turn), []).append([(level, lines) for level, lines in runs if level and plain(" ".join(lines))])
+    parent = {}
+    for (conv, turn), all_quotes in quotes.items():
+        first = lambda what: min((t for c, t in said if c == conv and what in said[c, t]), default=turn)  # noqa: B023, E731
+        for own in all_quotes:
+            linked = []
+            for no, (level, lines) in enumerate(own):
+                votes = Counter()
+                whole = plain(" ".join(lines))
+                if first(whole) < turn:
+                    votes[first(whole)] += 1_000_000
+                for line in {plain(x) for x in lines} - {"", whole}:
+                    if first(line) < turn:
+                        votes[first(line)] += 1
+                if votes:
+                    linked.append((level, no, min(votes, key=lambda t: (-votes[t], t))))
+            if linked:
+                parent[conv, turn] = min(parent.get((conv, turn), turn), min(linked)[2])
+    out = {}
+    for conv, turn in quotes:
+        root, depth = turn, 0
+        while (conv, root) in parent:
+            root, depth = parent[conv, root], depth + 1
+        out[conv, turn] = (parent.get((conv, turn)), root, depth)
+    return out
+
+
+@pytest.mark.parametrize("rows_bound", [500_000, 0])
+def test_links_against_brute_force(spark, rows_bound):
+    rng = random.Random(8)
+    lines = [f"{a} {b}" for a in ("the river", "a stone", "old copper", "late winter") for b in ("is here", "was gone", "sings")]
+    rows = []
+    for conv in (1, 2, None, 3):
+        texts = []
+        for turn in range(40 if conv == 1 else 12):
+            body = []
+            if texts and rng.random() < 0.7:
+                quoted = rng.choice(texts).split("\n")
+                start = rng.randrange(len(quoted))
+                body += [rng.choice(["> ", ">", " > "]) + q.upper() for q in quoted[start : start + rng.randint(1, 3)]]
+            if rng.random() < 0.3:
+                body += ["> > " + rng.choice(lines), "> " + rng.choice(lines)]
+            body += [rng.choice([*lines, "", f"only {conv} {turn}"]) for _ in range(rng.randint(1, 3))]
+            texts.append("\n".join(body))
+            rows.append((conv, turn, "user", texts[-1]))
+    out = link_quotations(spark.createDataFrame(rows, MESSAGES), rows=rows_bound).collect()
+    assert {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.reply_depth) for r in out} == brute_links(rows)
+    assert sum(r.parent_turn is not None for r in out) > 20
+
+
+def test_one_conversation_that_holds_most_messages(spark):
+    rows = [(1, 0, "user", "the one question\nof all"), *((1, i, "user", f"> the one question\nanswer {i}") for i in range(1, 900)), *((i, 0, "user", "alone") for i in range(2, 50)), *((1, 900, "user", "> of all\nsame"),) * 300]
+    out = link_quotations(spark.createDataFrame(rows, MESSAGES), rows=0).collect()
+    assert len(out) == len(rows) and sum(r.parent_turn == 0 for r in out) == 899 + 300
+    assert [(r.conv_id, r.root_turn, r.reply_depth, r.turn) for r in out] == sorted((r.conv_id, r.root_turn, r.reply_depth, r.turn) for r in out)
