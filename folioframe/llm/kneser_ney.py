@@ -1,25 +1,34 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored from memory-mapped arrays.
+"""Interpolated modified Kneser-Ney model of bigrams or trigrams, counted in Spark and scored from memory-mapped arrays.
 
-Four passes, each bounded by a chunk of tokens in memory:
+Each pass is bounded by a chunk of tokens in memory:
 
 1. Words: chunk counts of 64-bit word hashes are summed; the sorted hash
    arrays with their counts are written in parts by the hash's top bits. A
    word's number is its place in that order, so a bigram is one exact integer
-   (context number * numbers + word number).
-2. Bigrams: each chunk's distinct bigrams are cut at key boundaries that
-   split the token mass evenly (also inside one very common context) and sent
-   as compressed sorted runs, one exchange for all.
-3. Each range merges its runs and writes its sorted keys and counts, the
-   totals of its contexts, and sends on the number of contexts of each word.
-4. Those continuation counts are summed by ranges of words.
+   (context number * numbers + word number) and a trigram that of its first
+   two words beside its last.
+2. Trigrams, if ``order`` is 3, else bigrams: each chunk's distinct ones are
+   cut at bigram boundaries that split the token mass evenly (also inside one
+   very common context) and sent as compressed sorted runs, one exchange for
+   all. Each range merges its runs and writes its sorted contexts, their
+   totals, keys and counts.
+3. Trigrams send on in how many contexts each bigram occurs; these runs are
+   merged like those of counted bigrams. Bigrams that begin a text have no
+   word before them and keep their counts.
+4. Bigrams send on the number of contexts of each word; these continuation
+   counts are summed by ranges of words.
 
 The files lie in the shared folder; workers map them and look up sorted
 needles, so a lookup reads forward. Discounts are the usual closed form of
-the counts of counts. Start of text is a context, end of text is a token.
+the counts of counts of each order. Start of text is a context, end of text is
+a token. Words are told apart by 64-bit hashes: of n words some n * n / 2**65
+pairs are expected to be taken for one. Bigram numbers need 63 bits, so more
+than ``MOST_WORDS`` words are refused, never wrapped round.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -33,12 +42,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialise, pick, shared_dir, table
+from .common import LOWER_ASCII, materialise, pick, run_dir, table
 
 CHUNK = 3_000_000  # tokens counted together
 SCORED = 1_000_000  # tokens scored together
 RANGE = 3_000_000  # tokens behind one range of bigrams
 PART = 1_000_000  # words in one part
+MOST_RANGES = 16_384  # so that ranges, files and what the driver knows of them stay bounded; beyond it ranges hold more tokens
+MOST_WORDS = 3_037_000_498  # the square of one more is below 2**63
 
 
 def training(folds: int, fold: int) -> Column:
@@ -99,6 +110,7 @@ class Store:
         if not isinstance(files, fs.LocalFileSystem):
             local = f"{tempfile.gettempdir()}/{folder.replace('/', '_')}_{name}"
             if not os.path.exists(local):
+                atexit.register(lambda: os.path.exists(local) and os.remove(local))
                 with files.open_input_stream(path) as source, open(f"{local}.{os.getpid()}", "wb") as out:
                     while block := source.read(1 << 22):
                         out.write(block)
@@ -118,6 +130,29 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def packed_values(values: np.ndarray) -> bytes:
+    """Integers in any order, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked_values(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint64).ravel().astype(np.int64)
+
+
+def distinct_pairs(context: np.ndarray, word: np.ndarray, times: np.ndarray | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (context, word) in order, with their times (one each where none are given)."""
+    if len(context) and (int(context.max()) + 1) * width < 1 << 63:  # both fit one integer
+        key = context * width + word
+        order = np.argsort(key, kind="stable")
+    else:
+        order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    starts = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])))) if len(context) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate((starts, [len(context)]))) if times is None else np.add.reduceat(times[order], starts) if len(starts) else np.zeros(0, np.int64)
+    return context[starts], word[starts], counts
+
+
 @dataclass
 class Words:
     """Sorted word hashes in parts by their top bits."""
@@ -167,6 +202,9 @@ class Model:
     lower: np.ndarray  # of continuation counts
     lower_total: int
     lower_rest: float  # mass that the continuation counts leave to the uniform distribution
+    order: int = 2
+    upper: np.ndarray | None = None  # discounts of trigrams
+    filled3: frozenset[int] = frozenset()  # the ranges that hold trigrams
 
     def __post_init__(self) -> None:
         self.maps: dict[str, np.ndarray] = {}
@@ -208,6 +246,37 @@ class Model:
                 out[i] = self.heavy[int(numbers[i])]
         return out
 
+    def trigrams(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of the contexts as ``contexts`` gives them, and counts, of (bigram number, word number) in any order."""
+        totals, times = np.zeros((len(contexts), 4), np.int64), np.zeros(len(contexts), np.int64)
+        of, where = np.unique(contexts, return_inverse=True)
+        ranges = np.searchsorted(self.bounds, of, "right")
+        place = np.full(len(of), -1, np.int64)
+        known_totals = np.zeros((len(of), 4), np.int64)
+        cuts = np.searchsorted(ranges, np.arange(len(self.bounds) + 2))
+        by_range = np.argsort(ranges[where], kind="stable")
+        token_cuts = np.searchsorted(ranges[where][by_range], np.arange(len(self.bounds) + 2))
+        kind = "<i8" if self.tokens >> 32 else "<u4"
+        for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if a == b or p not in self.filled3:
+                continue
+            known = self._map(f"contexts3-{p}", "<i8")
+            at = np.searchsorted(known, of[a:b])
+            at[at == len(known)] = 0
+            hit = known[at] == of[a:b]
+            place[a:b] = np.where(hit, at, -1)
+            known_totals[a:b] = np.where(hit[:, None], self._map(f"totals3-{p}", kind).reshape(-1, 4)[at], 0)
+            own = by_range[token_cuts[p] : token_cuts[p + 1]]
+            own = own[place[where[own]] >= 0]
+            if len(own):
+                codes, back = np.unique(place[where[own]] * (self.vocabulary + 1) + words[own], return_inverse=True)
+                keys = self._map(f"keys3-{p}", "<i8")
+                at = np.searchsorted(keys, codes)
+                at[at == len(keys)] = 0
+                times[own] = np.where(keys[at] == codes, self._map(f"times3-{p}", kind)[at], 0)[back]
+        totals[:] = known_totals[where]
+        return totals, times
+
     def continuations(self, numbers: np.ndarray) -> np.ndarray:
         """In how many contexts each of ascending word numbers occurs."""
         out = np.zeros(len(numbers), np.int64)
@@ -248,6 +317,15 @@ class Model:
         times = times[place]
         divisor = np.maximum(total, 1)
         chance = np.where(total > 0, np.maximum(times - self.discounts[np.minimum(times, 3)], 0) / divisor + rest / divisor * chance, chance)
+        if self.order == 3:
+            # the word before the context: start of text before the first, none before the start itself
+            before = np.concatenate(([-1], context[:-1]))
+            before[starts] = -1
+            at = np.flatnonzero((before >= 0) & (context >= 0))
+            totals, times = self.trigrams(before[at] * (self.vocabulary + 1) + context[at], word[at])
+            seen = totals[:, 0] > 0
+            at, totals, times = at[seen], totals[seen], times[seen]
+            chance[at] = np.maximum(times - self.upper[np.minimum(times, 3)], 0) / totals[:, 0] + totals[:, 1:] @ self.upper[1:] / totals[:, 0] * chance[at]
         return lengths, np.add.reduceat((counts > 0)[inverse].astype(np.int64), starts), np.add.reduceat(base[inverse], starts), np.add.reduceat(np.log10(chance), starts)
 
 
@@ -327,22 +405,39 @@ def _write_words(counted: DataFrame, uri: str, top: int, grain: float, heavy: fl
     return rows.mapInArrow(run, "part long, n long, cross array<bigint>, large array<bigint>, mass array<bigint>").collect()
 
 
-def _count_bigrams(rows: DataFrame, words: Words, vocabulary: int, bounds: np.ndarray) -> DataFrame:
-    """Compressed runs (p, keys, times) of each chunk's distinct bigrams in each range."""
+RUNS = "n int, p long, keys binary, words binary, times binary"
+
+
+def _count_grams(rows: DataFrame, words: Words, vocabulary: int, bounds: np.ndarray, order: int) -> DataFrame:
+    """Compressed runs (n, p, keys, words, times) of each chunk's distinct n-grams of the order in each range.
+
+    ``keys`` are bigram numbers; ``words`` the last words of trigrams. With trigrams go the bigrams that begin texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        last: list[np.ndarray] = []
+        begins: list[np.ndarray] = []
         size = 0
 
+        def cut(n: int, keys: np.ndarray, last: np.ndarray | None, times: np.ndarray) -> list[tuple]:
+            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+            return [(n, p, packed(keys[a:b]), None if last is None else packed_values(last[a:b]), zstandard.compress(times[a:b].astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            keys, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-            found = [(p, packed(keys[a:b]), zstandard.compress(times[a:b].astype("<u4").tobytes(), 1)) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
-            p, k, t = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(k, pa.binary()), pa.array(t, pa.binary())], names=["p", "keys", "times"])
+            if order == 2:
+                keys, times = np.unique(np.concatenate(held), return_counts=True)
+                found = cut(2, keys, None, times)
+            else:
+                keys, ends, times = distinct_pairs(np.concatenate(held), np.concatenate(last), None, vocabulary + 1)
+                found = cut(3, keys, ends, times) if len(keys) else []
+                keys, times = np.unique(np.concatenate(begins), return_counts=True)
+                found += cut(2, keys, None, times)
+            held.clear(), last.clear(), begins.clear()
+            columns = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["n", "p", "keys", "words", "times"])
 
         for batch in batches:
             for _, _, texts in _texts(batch, 0, 4 * CHUNK):
@@ -350,15 +445,55 @@ def _count_bigrams(rows: DataFrame, words: Words, vocabulary: int, bounds: np.nd
                 distinct, inverse = np.unique(hashes, return_inverse=True)
                 word = words.lookup(distinct)[0][inverse]
                 context = np.concatenate(([vocabulary], word[:-1]))
-                context[np.cumsum(lengths) - lengths] = vocabulary
-                held.append(context * (vocabulary + 1) + word)
+                starts = np.cumsum(lengths) - lengths
+                context[starts] = vocabulary
+                bigrams = context * (vocabulary + 1) + word
+                if order == 2:
+                    held.append(bigrams)
+                else:
+                    # a trigram ends at every token but the first of a text: the bigram that ends before it, and the token
+                    inner = np.ones(len(word), bool)
+                    inner[starts] = False
+                    at = np.flatnonzero(inner)
+                    held.append(bigrams[at - 1])
+                    last.append(word[at])
+                    begins.append(bigrams[starts])
                 size += len(word)
                 if size >= CHUNK:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    return rows.select("text").mapInArrow(run, "p long, keys binary, times binary")
+    return rows.select("text").mapInArrow(run, RUNS)
+
+
+def _merge_trigrams(runs: DataFrame, uri: str, vocabulary: int, wide: bool, bounds: np.ndarray) -> DataFrame:
+    """Write each range of trigrams; gives runs of the bigrams that end them, with the number of their contexts, and
+    (n = 0) the counts of counts of each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, kind = Store(uri), "<i8" if wide else "<u4"
+        for p, held in _grouped(batches):
+            keys = np.concatenate([unpacked(x.as_py()) for b in held for x in b.column(1)]).astype(np.int64)
+            last = np.concatenate([unpacked_values(x.as_py()) for b in held for x in b.column(2)])
+            times = np.concatenate([np.frombuffer(zstandard.decompress(x.as_py()), "<u4") for b in held for x in b.column(3)]).astype(np.int64)
+            keys, last, times = distinct_pairs(keys, last, times, vocabulary + 1)
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            of = np.repeat(np.arange(len(first)), np.diff(np.concatenate((first, [len(keys)]))))
+            totals = np.stack([np.add.reduceat(x.astype(np.int64), first) for x in (times, times == 1, times == 2, times >= 3)], axis=1)
+            store.write(f"contexts3-{p}", keys[first].astype("<i8"))
+            store.write(f"totals3-{p}", totals.astype(kind))
+            store.write(f"keys3-{p}", (of * (vocabulary + 1) + last).astype("<i8"))
+            store.write(f"times3-{p}", times.astype(kind))
+            ends, n = np.unique(keys % (vocabulary + 1) * (vocabulary + 1) + last, return_counts=True)
+            cuts = [0, *np.searchsorted(ends, bounds).tolist(), len(ends)]
+            found = [(2, q, packed(ends[a:b]), zstandard.compress(n[a:b].astype("<u4").tobytes(), 1), None) for q, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+            found.append((0, p, None, None, [int((times == i).sum()) for i in (1, 2, 3, 4)]))
+            columns = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], names=["n", "p", "keys", "times", "numbers"])
+
+    dealt = runs.filter("n = 3").select("p", "keys", "words", "times").repartition(len(bounds) + 1, "p").sortWithinPartitions("p")
+    return materialise(dealt.mapInArrow(run, "n int, p long, keys binary, times binary, numbers array<bigint>"), "kn-trigrams")
 
 
 def _merge_bigrams(runs: DataFrame, uri: str, vocabulary: int, wide: bool, heavy: list[int], word_bounds: np.ndarray, ranges: int) -> DataFrame:
@@ -408,14 +543,23 @@ def _sum_continuations(merged: DataFrame, uri: str, vocabulary: int, word_bounds
     return rows.mapInArrow(run, "total long, counts array<bigint>").collect()
 
 
-def train(docs: DataFrame, range_tokens: int = RANGE, part_words: int = PART) -> Model:
-    """Count and store the model of all texts of ``docs``."""
+def train(docs: DataFrame, order: int = 3, range_tokens: int = RANGE, part_words: int = PART) -> Model:
+    """Count and store the model of all texts of ``docs``, of bigrams (``order`` 2) or trigrams (3).
+
+    Null and empty texts are one end token each, repeated rows count each, a
+    text of any length counts whole, an empty table gives a model that knows
+    no word; columns besides text are not looked at whatever their names.
+    """
+    if order not in (2, 3):
+        raise ValueError(f"order {order}: 2 and 3 are counted")
     rows = pick(docs, "text")
-    uri = f"{shared_dir(docs.sparkSession)}/folioframe/{uuid.uuid4().hex}/kneser-ney"
+    uri = f"{run_dir(docs.sparkSession)}/kneser-ney"
     counted = materialise(_count_words(rows), "kn-words")
     tokens, vocabulary = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if vocabulary > MOST_WORDS:
+        raise OverflowError(f"{vocabulary} distinct words: bigrams of more than {MOST_WORDS} have no 63-bit numbers")
     top = max(0, (vocabulary // part_words).bit_length())
-    share = max(1.0, tokens / max(1, -(-tokens // range_tokens)))
+    share = max(1.0, tokens / min(MOST_RANGES, max(1, -(-tokens // range_tokens))))
     found = {r.part: r for r in _write_words(counted, uri, top, share / 4, share)} if vocabulary else {}
     offsets = np.cumsum([0] + [found[p].n if p in found else 0 for p in range(1 << top)]).tolist()
     words = Words(uri, top, offsets)
@@ -432,8 +576,20 @@ def train(docs: DataFrame, range_tokens: int = RANGE, part_words: int = PART) ->
         edges |= {h * (vocabulary + 1) + cross[len(cross) * i // pieces] for i in range(1, pieces) if cross}
     bounds = np.array(sorted(edges) if vocabulary else [], np.int64)
     if not vocabulary:
-        return Model(words, 0, 0, bounds, frozenset(), {}, word_bounds, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0)
-    runs = _count_bigrams(rows, words, vocabulary, bounds)
+        return Model(words, 0, 0, bounds, frozenset(), {}, word_bounds, discounts(0, 0, 0, 0), discounts(0, 0, 0, 0), 0, 1.0, order, discounts(0, 0, 0, 0))
+    grams = _count_grams(rows, words, vocabulary, bounds, order)
+    upper, filled3 = None, set()
+    if order == 2:
+        runs = grams.select("p", "keys", "times")
+    else:
+        grams = materialise(grams, "kn-runs")
+        ended = _merge_trigrams(grams, uri, vocabulary, bool(tokens >> 32), bounds)
+        runs = ended.filter("n = 2").select("p", "keys", "times").unionByName(grams.filter("n = 2").select("p", "keys", "times"))
+        of3 = np.zeros(4, np.int64)
+        for row in ended.filter("n = 0").select("p", "numbers").toLocalIterator():
+            of3 += np.array(row.numbers)
+            filled3.add(row.p)
+        upper = discounts(*of3.tolist())
     merged = _merge_bigrams(runs, uri, vocabulary, bool(tokens >> 32), sorted(heavy), word_bounds, max(1, len(bounds) + 1))
     of = np.zeros(4, np.int64)
     cut: dict[int, np.ndarray] = {}
@@ -449,7 +605,7 @@ def train(docs: DataFrame, range_tokens: int = RANGE, part_words: int = PART) ->
     n1, n2, n3, n4, more = np.sum([r.counts for r in sums], axis=0).tolist()
     lower = discounts(n1, n2, n3, n4)
     rest = float(lower[1] * n1 + lower[2] * n2 + lower[3] * more) / total
-    return Model(words, tokens, vocabulary, bounds, frozenset(filled), cut, word_bounds, discounts(*of.tolist()), lower, total, rest)
+    return Model(words, tokens, vocabulary, bounds, frozenset(filled), cut, word_bounds, discounts(*of.tolist()), lower, total, rest, order, upper, frozenset(filled3))
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -471,15 +627,17 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def score_held_out(docs: DataFrame, folds: int = 5, fold: int = 1) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 5, fold: int = 1, order: int = 3) -> DataFrame:
     """Train on the rows whose crc32 leaves another remainder than ``fold``, score all rows.
 
     Columns: doc_id, held_out and those of ``score_texts``. Null and empty
     texts are one end token; a null id counts as an empty text; repeated rows
-    are learned and scored each; with nothing to learn from all tokens are
-    unknown and equally likely; an empty table gives no rows.
+    are learned and scored each, ties get equal scores; a text of any length
+    is scored whole; columns besides doc_id and text are not looked at
+    whatever their names; with nothing to learn from all tokens are unknown
+    and equally likely; an empty table gives no rows.
     """
-    model = train(pick(docs, "doc_id", "text").filter(training(folds, fold)))
+    model = train(pick(docs, "doc_id", "text").filter(training(folds, fold)), order)
     return score_texts(docs, model).withColumn("held_out", ~training(folds, fold))
 
 
