@@ -543,7 +543,7 @@ def _sum_continuations(merged: DataFrame, uri: str, vocabulary: int, word_bounds
     return rows.mapInArrow(run, "total long, counts array<bigint>").collect()
 
 
-def train(docs: DataFrame, order: int = 3, range_tokens: int = RANGE, part_words: int = PART) -> Model:
+def train(docs: DataFrame, order: int = 2, range_tokens: int = RANGE, part_words: int = PART) -> Model:
     """Count and store the model of all texts of ``docs``, of bigrams (``order`` 2) or trigrams (3).
 
     Null and empty texts are one end token each, repeated rows count each, a
@@ -627,7 +627,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return frame.mapInArrow(run, schema)
 
 
-def score_held_out(docs: DataFrame, folds: int = 5, fold: int = 1, order: int = 3) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 5, fold: int = 1, order: int = 2) -> DataFrame:
     """Train on the rows whose crc32 leaves another remainder than ``fold``, score all rows.
 
     Columns: doc_id, held_out and those of ``score_texts``. Null and empty
