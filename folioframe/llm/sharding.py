@@ -122,15 +122,17 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, range_bytes:
     opened: dict[int, tuple[int, int]] = {0: (0, 0)}
     holds = {0: list(unmet)}
     depth = rounds = 0
+    within = None  # rows under the open prefixes
     while unmet and depth < DEPTH:
         bits = max(2, min(12, (max(4, probes // len(opened))).bit_length() - 1))
-        deeper = min(64 * (depth // 64 + 1), depth + bits)
+        # few rows have few children, however deep: go on to the end of the word
+        deeper = 64 * (depth // 64 + 1) if within is not None and within <= probes else min(64 * (depth // 64 + 1), depth + bits)
         step = deeper - depth
         rounds += 1
         rows = keys
         if depth:
             known = [tuple(_words_of(v, depth)) for v in opened]
-            wanted = spark.createDataFrame(known, ", ".join(f"w{i} long" for i in range(len(WORDS)))).select(F.struct("*").alias("p"))
+            wanted = spark.range(len(known)).select(F.struct(*(F.get(_numbers([k[i] for k in known]), F.col("id").cast("int")).alias(f"w{i}") for i in range(len(WORDS)))).alias("p"))
             rows = rows.join(F.broadcast(wanted), _prefix(depth) == F.col("p"), "left_semi")
         counted = rows.groupBy(_prefix(deeper).alias("p")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
         children: dict[int, list[tuple[int, int, int]]] = {}
@@ -139,6 +141,7 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, range_bytes:
             children.setdefault(value >> step, []).append((value, row["size"], row.n))
         next_opened: dict[int, tuple[int, int]] = {}
         next_holds: dict[int, list[int]] = {}
+        below: dict[int, int] = {}
         for parent, targets in holds.items():
             size, n = opened[parent]
             ordered = iter(sorted(children.get(parent, [])))
@@ -156,8 +159,9 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float, range_bytes:
                     del unmet[i]
                 else:
                     next_opened[child[0]] = (size, n)
+                    below[child[0]] = child[2]
                     next_holds.setdefault(child[0], []).append(i)
-        opened, holds, depth = next_opened, next_holds, deeper
+        opened, holds, depth, within = next_opened, next_holds, deeper, sum(below.values())
     edges = [met.get(i, (0, 0, 0)) for i in range(1, parts)]
     bounds = [tuple((e >> 64 * i) & (FULL - 1) if i < len(WORDS) - 1 else e >> 64 * i for i in reversed(range(len(WORDS)))) for e, _, _ in edges]
     return Splitters(bounds, [n for _, _, n in edges], per_shard, rounds)

@@ -92,7 +92,8 @@ def mine(labelled: DataFrame, support: float, least_pages: int, confidence: floa
     """
     rows = materialise(labelled.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"), "bad"), "url-labelled")
     n, bad = rows.agg(F.count(F.lit(1)), F.count_if("bad")).first()
-    empty = rows.sparkSession.createDataFrame([], "rule_id long, items array<string>, confidence double, support double, sure double")
+    none = F.lit(None)
+    empty = rows.filter(F.lit(False)).select(none.cast("long").alias("rule_id"), "items", *(none.cast("double").alias(c) for c in ("confidence", "support", "sure")))
     if not bad or bad == n:
         return empty
     least = max(confidence, lift * bad / n)
