@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import faults_catalogue
 from .functions import lexicon as X
 from .functions import text as T
 from .operators import conflicts, contract, layout
 from .plans import reports
 from .plans.document import DocumentPlan, pages_per_part, run_summary
 from .plans.store import shared_dir, written
+from .registry import ORACLE_SQL, QUERIES, query
 from .sources import upload
 from .sources.virtual import virtual_documents
 from .streaming import incremental
@@ -26,6 +28,7 @@ _PLANS: dict[tuple[str, str], DocumentPlan] = {}
 
 def forget() -> None:
     _PLANS.clear()
+    faults_catalogue.forget()
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DocumentPlan:
@@ -39,22 +42,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL where there is one."""
-
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLE_SQL[function.__name__] = sql
-        return function
-
-    return add
-
-
 LINES = """
 WITH ordered AS (
     SELECT l_orderkey AS doc_id,
