@@ -13,7 +13,7 @@ from .functions import numbers as N
 from .functions import text as T
 from .operators import evidence
 from .plans import reports
-from .plans.document import DocumentPlan
+from .plans.document import DocumentPlan, within_page_limit
 from .registry import query
 from .sources.faults import faulty_documents
 
@@ -258,3 +258,18 @@ SELECT o_orderkey, CASE WHEN b < 1024 THEN b || CASE WHEN b = 1 THEN ' byte' ELS
 )
 def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", reports.file_size(F.col("o_orderkey") * 37 - 37).alias("size"))
+
+
+@query(
+    DRAWN
+    + """
+SELECT doc_id, CASE WHEN variant = 20 THEN 'TOO_MANY_PAGES' END AS code, CASE WHEN variant = 20 THEN 'This file has 2 pages. We read files of up to 1 pages. Split it into smaller files and try again.' END AS message,
+       CASE WHEN variant = 20 THEN 0 ELSE 1 END AS pages, CASE WHEN variant IN (20, 5, 6) THEN FALSE ELSE TRUE END AS has_pieces
+FROM base
+"""
+)
+def page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with faults under a limit of one page."""
+    pages, pieces, refused = within_page_limit(*faulty_documents(spark, sf_dir), limit=1)
+    kept = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("pages")).join(pieces.select("doc_id").distinct().withColumn("has_pieces", F.lit(True)), "doc_id", "left")
+    return kept.join(refused, "doc_id", "full").select("doc_id", "code", "message", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("has_pieces", F.lit(False)).alias("has_pieces"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as X
-from .text import CODES, LONGEST_NUMBER, let, stripped
+from .text import CODES, let, stripped
 
 ALL = (1 << len(X.CONVENTIONS)) - 1
 SPACES = ("\u00a0\u202f\u2009", "   ")
@@ -21,8 +21,8 @@ PER_UNIT = r"(?U)\s*/\s*([\p{L}.]+)\s*$"
 MARK_FIRST = rf"(?U)^([A-Z]{{1,2}}\p{{Sc}}|\p{{Sc}}|(?:{CODES})(?=[\s0-9]))\s*"
 MARK_LAST = rf"(?U)\s*([A-Z]{{1,2}}\p{{Sc}}|\p{{Sc}}|(?<=[0-9\s])(?:{CODES}))$"
 # most cells: a number with at most a currency sign before it, and words without capitals inside, among them plain numbers
-SIMPLE = r"^(\p{Sc})?([0-9]+(?:[.,][0-9]+)*)$"
-WORDY = r"^\p{L}?\p{Ll}+(?: (?:\p{L}?\p{Ll}+|[0-9]+))*$"
+SIMPLE = r"^(\p{Sc})?([0-9]++(?:[.,][0-9]++)*+)$"
+WORDY = r"^\p{L}?\p{Ll}++(?: (?:\p{L}?\p{Ll}++|[0-9]++))*+$"
 #: Shapes of a core that need no trial of each convention, with the conventions that they fit.
 SHAPES = ((r"^[0-9]+$", (1 << len(X.CONVENTIONS)) - 1), (r"^[0-9]+\.(?:[0-9]{1,2}|[0-9]{4,})$", 0b1111), (r"^[1-9][0-9]{0,2}(?:,[0-9]{3})+\.[0-9]+$", 0b1))
 CORE = r"^[0-9](?:[0-9.,' ]*[0-9])?$"
@@ -95,7 +95,7 @@ def analyse(text: Column, joins: Column | None = None) -> Column:
     def quick(t: Column) -> Column:
         plain = lambda core, marker: F.struct(core.alias("core"), marker.alias("marker"), F.lit(False).alias("percent"), F.lit(None).cast("string").alias("per"), F.lit(False).alias("negative"), F.lit(False).alias("space_at_join"))
         none = F.lit(None).cast("string")
-        return F.when(F.length(t) > LONGEST_NUMBER, plain(none, none)).when(t.rlike(SIMPLE), plain(F.regexp_extract(t, SIMPLE, 2), F.nullif(F.regexp_extract(t, SIMPLE, 1), F.lit("")))).when(t.rlike(WORDY), plain(none, none)).otherwise(outer(t))
+        return F.when(t.rlike(SIMPLE), plain(F.regexp_extract(t, SIMPLE, 2), F.nullif(F.regexp_extract(t, SIMPLE, 1), F.lit("")))).when(t.rlike(WORDY), plain(none, none)).otherwise(outer(t))
 
     return let(stripped(F.translate(text, *SPACES)), quick)
 

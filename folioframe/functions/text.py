@@ -18,12 +18,11 @@ SEPARATORS = r"[.,'\u00A0\u202F\u2009 ]"
 # codes by first letter, so that a text tries some of them only
 CODES = "|".join(f"{first}(?:{'|'.join(c[1:] for c in X.CURRENCY_CODES if c[0] == first)})" for first in sorted({c[0] for c in X.CURRENCY_CODES}))
 CURRENCY = rf"(?:[A-Z]{{1,2}}\p{{Sc}}|\p{{Sc}}|(?:{CODES}))"
-DIGITS = rf"[0-9]+(?:{SEPARATORS}[0-9]+)*"
+# possessive: what follows a number never begins with what the loop would give back, and a long text takes no stack
+DIGITS = rf"[0-9]++(?:{SEPARATORS}[0-9]++)*+"
 WHOLE_NUMBER = rf"^\(?[+\-\u2212]?(?:{CURRENCY}\s?)?{DIGITS}(?:\s?(?:{CURRENCY}|%))?\)?$"
 NUMBER_FIRST = rf"^[+\-\u2212]?(?:{CURRENCY}\s?)?{DIGITS}"
 UNIT_LENGTH, UNIT_WORDS = 10, 2
-#: A longer cell holds no number. Nested loops of a pattern take stack for each turn, and a long text must not end the JVM.
-LONGEST_NUMBER = 200
 PERCENTAGE = r"[0-9]+(?:[.,][0-9]+)?(?U:\s?)%"
 
 
@@ -49,7 +48,7 @@ def cell_shape(text: Column) -> Column:
             return (rest != "") & (F.length(rest) <= UNIT_LENGTH) & (F.size(F.split(rest, " ")) <= UNIT_WORDS)
 
         unit = let(stripped(F.regexp_replace(cell, NUMBER_FIRST, "")), with_unit)
-        return F.when(F.length(cell) > LONGEST_NUMBER, "TEXT").when(cell.rlike(WHOLE_NUMBER), "NUM").when(cell.rlike(NUMBER_FIRST) & unit, "NUMX").otherwise("TEXT")
+        return F.when(cell.rlike(WHOLE_NUMBER), "NUM").when(cell.rlike(NUMBER_FIRST) & unit, "NUMX").otherwise("TEXT")
 
     return let(squeezed(text), shape)
 
@@ -202,7 +201,7 @@ def printed_value(number: Column) -> Column:
     """A printed count as a plain number, as text: thousands marks out, a single mark as the decimal mark."""
     marks = F.regexp_count(number, F.lit("[.,]"))
     value = F.when(marks == 0, plain_number(number)).when(number.rlike(r"^[0-9]{1,3}(?:[.,][0-9]{3})+$"), plain_number(F.regexp_replace(number, "[.,]", ""))).when(marks == 1, plain_number(F.replace(number, F.lit(","), F.lit("."))))
-    return F.coalesce(F.when(F.length(number) <= LONGEST_NUMBER, value), number)
+    return F.coalesce(value, number)
 
 
 def column_key(header: Column, position: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
@@ -36,13 +36,18 @@ def conflicting_figures(found: DataFrame) -> DataFrame:
     """doc_id, word, message, mentions and evidence of each word with two values on two rows.
 
     The first mention of each value is quoted, five at most, and up to five
-    lines, those of the quoted mentions first, in document order.
+    lines, those of the quoted mentions first, in document order. Values and
+    lines are ranked before they are gathered, so that however often a word
+    is counted, its row holds a few of them only.
     """
+    word = Window.partitionBy("doc_id", "word")
     place = F.struct("page", "row", "part", "k")
     first = found.groupBy("doc_id", "word", "value").agg(F.min(F.struct(place.alias("place"), "text", "page", "row", "line")).alias("m"))
-    counted = first.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("values"), F.array_sort(F.collect_list("m")).alias("ms"))
+    values = first.select("doc_id", "word", "m", F.row_number().over(word.orderBy("m")).alias("rank"))
+    counted = values.groupBy("doc_id", "word").agg(F.max("rank").alias("values"), F.array_sort(F.collect_list(F.when(F.col("rank") <= X.MAX_QUOTED, F.col("m")))).alias("ms"))
     rows = found.groupBy("doc_id", "word", "page", "row").agg(F.min(place).alias("place"), F.first("line").alias("line"))
-    lines = rows.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list(F.struct("page", "row", "line"))).alias("lines"))
+    placed = rows.select("doc_id", "word", "page", "row", "line", F.row_number().over(word.orderBy("page", "row")).alias("rank")).filter(F.col("rank") <= 2 * X.MAX_QUOTED)
+    lines = placed.groupBy("doc_id", "word").agg(F.array_sort(F.collect_list(F.struct("page", "row", "line"))).alias("lines"))
     both = counted.filter("values >= 2").join(lines.filter("size(lines) >= 2"), ["doc_id", "word"]).withColumn("quoted", F.slice("ms", 1, X.MAX_QUOTED))
     told = F.array_distinct(F.transform("quoted", lambda m: F.struct(m["page"].alias("page"), m["row"].alias("row"), m["line"].alias("line"))))
     evidence = F.array_sort(F.slice(F.concat(told, F.filter("lines", lambda x: ~F.array_contains(told, x))), 1, X.MAX_QUOTED))

@@ -35,8 +35,6 @@ MONEY = regex.compile(r"\p{Sc}")
 
 def shape_of(text: str) -> str:
     cell = " ".join(text.split())
-    if len(cell) > T.LONGEST_NUMBER:
-        return "TEXT"
     if WHOLE.fullmatch(cell):
         return "NUM"
     lead = FIRST.match(cell)

@@ -118,20 +118,21 @@ def product_triples(facts: DataFrame) -> DataFrame:
     """doc_id, page, a, b, c and their counts: columns whose product a x b is c on enough rows.
 
     The numbers of a row meet inside that row, so no join of cells with cells
-    is needed: each row gives its own pairs and the column they should make.
+    is needed: each row gives its own pairs, and of the columns only those
+    that a pair makes. On how many rows all three have numbers is counted
+    for the triples that are left.
     """
-    numbers = facts.filter("is_number").select(*KEYS, "position", "row_count", (F.col("steps_up")).alias("counting"), F.explode("reads").alias("r")).filter("r.value <> 0")
-    rows = numbers.groupBy(*KEYS, "r.n").agg(F.first("row_count").alias("row_count"), F.array_sort(F.collect_list(F.struct(F.col("position").alias("p"), F.col("r.value").alias("v"), F.col("r.dp").alias("dp"), F.col("counting").alias("counting")))).alias("x"))
-    pairs = rows.select(*KEYS, "row_count", "x", F.explode("x").alias("a")).select("*", F.explode(F.filter("x", lambda b: b["p"] > F.col("a.p"))).alias("b"))
-    triples = pairs.select("*", F.explode(F.filter("x", lambda c: (c["p"] != F.col("a.p")) & (c["p"] != F.col("b.p")))).alias("c"))
-    fits = F.abs(F.col("a.v") * F.col("b.v") - F.col("c.v")) <= F.pow(F.lit(10.0), -F.col("c.dp")) + 1e-9
-    counted = triples.groupBy(*KEYS, F.col("a.p").alias("a"), F.col("b.p").alias("b"), F.col("c.p").alias("c")).agg(
-        F.first("row_count").alias("row_count"),
-        F.count(F.lit(1)).alias("checkable"),
-        F.count_if(fits).alias("support"),
-        F.count_if(fits & (F.col("a.v") != 1) & (F.col("b.v") != 1)).alias("discriminating"),
-        F.max(F.col("a.counting") | F.col("b.counting") | F.col("c.counting")).alias("with_counting"),
-    )
+    numbers = facts.filter("is_number").select(*KEYS, "position", "row_count", "steps_up", F.filter("reads", lambda r: r["value"] != 0).alias("reads"))
+    rows = numbers.select(*KEYS, "position", F.explode("reads").alias("r")).groupBy(*KEYS, "r.n").agg(F.array_sort(F.collect_list(F.struct(F.col("position").alias("p"), F.col("r.value").alias("v"), F.col("r.dp").alias("dp")))).alias("x"))
+    pairs = rows.select(*KEYS, "x", F.explode("x").alias("a")).select("*", F.explode(F.filter("x", lambda b: b["p"] > F.col("a.p"))).alias("b")).withColumn("product", F.col("a.v") * F.col("b.v"))
+    fits = F.filter("x", lambda c: (c["p"] != F.col("a.p")) & (c["p"] != F.col("b.p")) & (F.abs(F.col("product") - c["v"]) <= F.pow(F.lit(10.0), -c["dp"]) + 1e-9))
+    made = pairs.select(*KEYS, "a", "b", F.explode(fits).alias("c"))
+    found = made.groupBy(*KEYS, F.col("a.p").alias("a"), F.col("b.p").alias("b"), F.col("c.p").alias("c")).agg(F.count(F.lit(1)).alias("support"), F.count_if((F.col("a.v") != 1) & (F.col("b.v") != 1)).alias("discriminating"))
+    entry = F.struct(F.transform("reads", lambda r: r["n"]).alias("ns"), F.col("steps_up").alias("counting"))
+    columns = numbers.groupBy(*KEYS).agg(F.first("row_count").alias("row_count"), F.map_from_entries(F.collect_list(F.struct("position", entry.alias("e")))).alias("of"))
+    at = lambda p: F.col("of")[F.col(p)]
+    shared = F.size(F.array_intersect(F.array_intersect(at("a")["ns"], at("b")["ns"]), at("c")["ns"]))
+    counted = found.filter(F.col("support") >= 2).join(columns, KEYS).withColumn("checkable", shared).withColumn("with_counting", at("a")["counting"] | at("b")["counting"] | at("c")["counting"]).drop("of")
     return counted.filter((F.col("support") >= 2) & (2 * F.col("support") > F.col("checkable")) & (2 * F.col("support") >= F.col("row_count")) & (F.col("discriminating") >= X.MIN_DISCRIMINATING_ROWS))
 
 

@@ -114,7 +114,8 @@ def gate_totals(found: DataFrame, streams: DataFrame) -> DataFrame:
 
 
 def _units(value: Column, dp: Column) -> Column:
-    return F.floor(value * F.pow(F.lit(10.0), dp) + 0.5).try_cast("long")
+    """A printed amount in its smallest unit; exact for every amount that a double holds exactly."""
+    return (value * F.pow(F.lit(10.0), dp)).try_cast("decimal(38,0)")
 
 
 def check_totals(pages: DataFrame, items: DataFrame, candidates: DataFrame, unread: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def check_totals(pages: DataFrame, items: DataFrame, candidates: DataFrame, unre
         F.array_sort(F.collect_list(F.struct("page", "row", F.col("line_total").alias("value"), F.col("total_dp").alias("dp"), "id"))).alias("items"),
     )
     base = documents.join(facts, "doc_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<page:int,row:int,value:double,dp:int,id:string>>"))).withColumn("lines_dp", F.coalesce("lines_dp", F.lit(0)))
-    base = base.withColumn("sum_units", F.aggregate(F.filter("items", lambda i: i["value"].isNotNull()), F.lit(0).cast("long"), lambda acc, i: acc + _units(i["value"], F.col("lines_dp"))))
+    base = base.withColumn("sum_units", F.aggregate(F.filter("items", lambda i: i["value"].isNotNull()), F.lit(0).cast("decimal(38,0)"), lambda acc, i: F.try_add(acc, _units(i["value"], F.col("lines_dp")))))
     listed = candidates.join(base.select("doc_id", "last_page", "lines_dp", "decimals_only", "any_total", "sum_units"), "doc_id")
     count_like = (F.col("status") == "ok") & F.col("kind").isNotNull() & F.col("marker").isNull() & (F.col("dp") == 0) & F.coalesce(F.col("decimals_only") & F.col("any_total"), F.lit(False)) & (_units(F.col("value"), F.col("lines_dp")) != F.col("sum_units"))
     told = listed.withColumn("set_aside", F.coalesce(F.col("proved") & count_like, F.lit(False))).withColumn("covers", F.col("page") >= F.col("last_page"))
@@ -165,8 +166,8 @@ def check_totals(pages: DataFrame, items: DataFrame, candidates: DataFrame, unre
         blocked = F.get(F.filter("pages", lambda p: (p["page"] <= c["page"]) & (p["status"] != "extracted")), F.lit(0))
         bare = F.get(F.filter(upto, lambda i: i["value"].isNull()), F.lit(0))
         dp_ = F.greatest(c["dp"], F.coalesce(F.array_max(F.transform(upto, lambda i: i["dp"])), F.lit(0)))
-        total = F.aggregate(upto, F.lit(0).cast("long"), lambda acc, i: acc + _units(F.coalesce(i["value"], F.lit(0.0)), dp_))
-        gap = F.abs(total - _units(c["value"], dp_))
+        total = F.aggregate(upto, F.lit(0).cast("decimal(38,0)"), lambda acc, i: F.try_add(acc, _units(F.coalesce(i["value"], F.lit(0.0)), dp_)))
+        gap = F.abs(F.try_subtract(total, _units(c["value"], dp_)))
         kind = F.when(blocked.isNotNull(), "pageNotRead").when(bare.isNotNull(), "missingLineTotal").when(F.size(upto) == 0, "noLines").otherwise("added")
         scale = F.pow(F.lit(10.0), dp_)
         return F.struct(c.alias("c"), kind.alias("kind"), F.coalesce(blocked["page"], bare["page"]).alias("page"), blocked["status"].alias("status"), blocked["no_table"].alias("no_table"), (total / scale).alias("value"), (gap / scale).alias("gap"), (gap <= F.floor(F.size(upto) * scale / 100)).alias("matches"), dp_.alias("dp"), F.transform(upto, lambda i: i["id"]).alias("ids"))

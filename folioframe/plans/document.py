@@ -253,6 +253,14 @@ class DocumentPlan:
         return joined.select("doc_id", whole.alias("result")).withColumn("json", F.to_json("result"))
 
 
+def within_page_limit(pages: DataFrame, pieces: DataFrame, limit: int = X.MAX_PAGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages, pieces) of the documents that may be read, and doc_id, code and message of those with too many pages."""
+    counted = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    over = written(counted.filter(F.col("n") > limit), "over-limit")
+    refused = over.select("doc_id", F.lit("TOO_MANY_PAGES").alias("code"), M.refusal("TOO_MANY_PAGES", pages=F.col("n"), limit=F.lit(limit)).alias("message"))
+    return pages.join(over, "doc_id", "left_anti"), pieces.join(over, "doc_id", "left_anti"), refused
+
+
 def run_summary(plan: DocumentPlan) -> DataFrame:
     """doc_id, page_count, item_count and the histogram of refusal codes: the log line of a run, without document text."""
     pages = plan.page_status.groupBy("doc_id").agg(F.count(F.lit(1)).alias("page_count"), F.sum("item_count").alias("item_count"))
