@@ -559,3 +559,6 @@ FROM counted LEFT JOIN refused USING (doc_id)
 )
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.summaries(plan(spark, sf_dir))
+
+
+from . import stages_catalogue  # noqa: E402, F401  registers its queries, which read the plans above
