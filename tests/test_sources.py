@@ -1,11 +1,14 @@
 """Uploads, the small PDF reader, streams and the driver entry."""
 
+import base64
 import os
+import random
 import shutil
 import subprocess
 import sys
 import zlib
 
+import pytest
 from folioframe.plans.document import DocumentPlan
 from folioframe.sources import pdf, upload
 from folioframe.streaming import incremental
@@ -41,10 +44,10 @@ def test_files_become_items(spark, tmp_path):
     codes = {r.file_name: r.code for r in uploads.collect()}
     assert codes == {"a.pdf": None, "b.pdf": None, "locked.pdf": None, "broken.pdf": None, "text.pdf": "NOT_A_PDF", "empty.pdf": "EMPTY_FILE"}
     accepted = uploads.filter("code is null")
-    pages = pdf.read_files(accepted, "pages")
+    pages, pieces = pdf.read_files(accepted)
     found = {(r.doc_id.rsplit("/", 1)[1], r.page): r.code for r in pages.collect()}
     assert found == {("a.pdf", 1): None, ("a.pdf", 2): None, ("b.pdf", 1): None, ("locked.pdf", 0): "ENCRYPTED", ("broken.pdf", 0): "CORRUPT_FILE"}
-    plan = DocumentPlan(pages.filter("page > 0").drop("code"), pdf.read_files(accepted, "pieces"))
+    plan = DocumentPlan(pages.filter("page > 0").drop("code"), pieces)
     items = plan.line_items.collect()
     assert sorted((i.doc_id.rsplit("/", 1)[1], i.page, i.line_total) for i in items) == [("a.pdf", 1, 178.0), ("a.pdf", 1, 186.0), ("a.pdf", 2, 178.0), ("a.pdf", 2, 186.0), ("b.pdf", 1, 178.0), ("b.pdf", 1, 186.0)]
     problems = upload.problems(uploads.filter("code is not null")).collect()
@@ -57,6 +60,67 @@ def test_places_sizes_and_turns():
     assert piece[1:4] == ("Hi (there)", 50.0, 100.0) and piece[5] == 9.0 and piece[6] == 0.0
 
 
+def lzw(data):
+    """Codes of 9 to 12 bits that name the longest known text, the table filled as a reader does."""
+    table, width, bits = {bytes([i]): i for i in range(256)}, 9, format(256, "09b")
+    size, own = 258, b""
+    for b in data:
+        longer = own + bytes([b])
+        if longer in table:
+            own = longer
+            continue
+        bits += format(table[own], f"0{width}b")
+        if size < 4096:
+            table[longer] = size
+            size += 1
+        width = min(12, max(9, size.bit_length()))
+        own = bytes([b])
+    bits += format(table[own], f"0{width}b") + format(257, f"0{min(12, max(9, (size + 1).bit_length()))}b")
+    return bytes(int((bits + "0" * (-len(bits) % 8))[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def test_filters_give_back_the_data():
+    data = bytes(random.Random(5).choices(b"abcab \n()xyz", k=30_000)) + bytes(range(256))
+    assert pdf.unfiltered("LZWDecode", lzw(data), {}) == data
+    assert pdf.unfiltered("ASCII85Decode", b"<~" + base64.a85encode(data, wrapcol=70) + b"~>", {}) == data
+    assert pdf.unfiltered("ASCIIHexDecode", data.hex(" ").encode() + b">", {}) == data
+    assert pdf.unfiltered("ASCIIHexDecode", b"417>", {}) == b"Ap"
+    assert pdf.unfiltered("RunLengthDecode", bytes([2]) + b"abc" + bytes([254]) + b"x" + bytes([128]) + b"rest", {}) == b"abcxxx"
+    assert pdf.unfiltered("FlateDecode", zlib.compress(data), {"Predictor": 1}) == data
+    with pytest.raises(pdf.Damaged):
+        pdf.unfiltered("DCTDecode", data, {})
+
+
+def test_every_row_prediction_is_undone():
+    """Rows predicted from the left, above, both and the nearest of three, with three bytes a pixel."""
+    rng, step = random.Random(3), 3
+    rows = [bytes(rng.randrange(256) for _ in range(12)) for _ in range(10)]
+    coded, before = b"", bytes(12)
+    for n, row in enumerate(rows):
+        kind, line = n % 5, []
+        for i, v in enumerate(row):
+            a, b, c = (row[i - step], before[i], before[i - step]) if i >= step else (0, before[i], 0)
+            p = a + b - c
+            near = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            line.append((v - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+        coded += bytes([kind, *line])
+        before = row
+    assert pdf.unpredicted(coded, {"Predictor": 15, "Columns": 4, "Colors": 3}) == b"".join(rows)
+
+
+def test_forms_and_inline_pictures():
+    """A form draws through its matrix; a form that draws itself refuses the page; bytes of a picture are no operators."""
+    form = b"30 0 obj\n<< /Type /XObject /Subtype /Form /Matrix [1 0 0 1 100 -20] /Length 46 >>\nstream\nBT /F1 9 Tf 1 0 0 1 5 700 Tm (in a form) Tj ET  \nendstream\nendobj\n"
+    data = make_pdf([[("Hi", 50, 100)]], compress=False).replace(b"ET\nendstream", b"ET BI /W 1 /H 1 ID (\x01 EI /Fm Do\nendstream").replace(b"/F1 3 0 R >> >>", b"/F1 3 0 R >> /XObject << /Fm 30 0 R >> >>").replace(b"trailer", form + b"trailer")
+    file, pages = pdf.open_file(data)
+    page = pdf.read_page(file, pages[0])
+    assert [p[1:4] for p in page.pieces] == [("Hi", 50.0, 100.0), ("in a form", 105.0, 842.0 - 680.0)] and page.images == 1
+    loop = data.replace(b"(in a form) Tj ET  ", b"(in) Tj ET /Fm Do  ")
+    file, pages = pdf.open_file(loop)
+    with pytest.raises(pdf.Damaged):
+        pdf.read_page(file, pages[0])
+
+
 def test_damaged_pages_are_contained():
     data = make_pdf([PAGE, PAGE]).replace(b"/Contents 11 0 R", b"/Contents 99 0 R")
     file, pages = pdf.open_file(data)
