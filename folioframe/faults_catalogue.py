@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import numbers as N
 from .functions import text as T
-from .operators import evidence
+from .operators import contract, evidence
 from .plans import reports
 from .plans.document import DocumentPlan, within_page_limit
 from .registry import query
@@ -273,3 +273,62 @@ def page_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, pieces, refused = within_page_limit(*faulty_documents(spark, sf_dir), limit=1)
     kept = pages.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("pages")).join(pieces.select("doc_id").distinct().withColumn("has_pieces", F.lit(True)), "doc_id", "left")
     return kept.join(refused, "doc_id", "full").select("doc_id", "code", "message", F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("has_pieces", F.lit(False)).alias("has_pieces"))
+
+
+@query(
+    DRAWN
+    + """
+, state AS (
+    SELECT doc_id, page, variant IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 27) AS bare FROM sheets
+), counted AS (
+    SELECT doc_id, count(*) AS n FROM listed GROUP BY doc_id
+), totals AS (
+    SELECT sum(n) FILTER (WHERE doc_id % 7 = 0) AS ids, count(*) FILTER (WHERE doc_id % 7 = 0) AS shared, sum(n) FILTER (WHERE doc_id % 7 = 1) AS currencies, sum(n) FILTER (WHERE doc_id % 7 = 2) AS spans,
+           sum(n) FILTER (WHERE doc_id % 7 = 3) AS twofold, (SELECT count(*) FROM state WHERE doc_id % 7 = 4) AS counts, (SELECT count(*) FROM state WHERE doc_id % 7 = 4 AND bare) AS lists,
+           (SELECT count(*) FROM base WHERE doc_id % 7 = 5) AS sums, sum(n) FILTER (WHERE doc_id % 7 = 6) AS units
+    FROM counted
+)
+SELECT rule, CAST(coalesce(CASE rule WHEN 'item id names page and row' THEN ids WHEN 'item ids are unique' THEN shared WHEN 'a currency only on money' THEN currencies WHEN 'spans give the raw text' THEN spans
+       WHEN 'no role is both present and missing' THEN twofold WHEN 'item counts are those listed' THEN counts WHEN 'refused and blank pages list nothing' THEN lists WHEN 'a sum is there when checked' THEN sums WHEN 'a unit only on a price' THEN units END, 0) AS BIGINT) AS violations
+FROM totals, (VALUES ('item id names page and row'), ('number roles have values, others none'), ('a unit only on a price'), ('a currency only on money'),
+  ('spans give the raw text'), ('no role is both present and missing'), ('item ids are unique'), ('pages are numbered from 1'), ('item counts are those listed'), ('refused and blank pages list nothing'),
+  ('a role has a source'), ('refusal ids are unique'), ('refusals name pages that exist'), ('refusal ids name their place'), ('a check has a sum or a reason'), ('a sum is there when checked')) AS t(rule)
+"""
+)
+def contract_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of a reply over replies that were spoilt, each document in one of seven ways by its number."""
+    p, way = plan(spark, sf_dir), F.col("doc_id") % 7
+    spoilt = lambda name, k, value: F.when(way == k, value).otherwise(F.col(name)).alias(name)
+    given = lambda part, value: F.transform("fields", lambda f: f.withField(part, F.lit(value)))
+    fields = F.when(way == 1, given("currency", "EUR")).when(way == 6, given("per", "bag")).otherwise(F.col("fields")).alias("fields")
+    items = p.line_items.select("doc_id", "page", "row", spoilt("id", 0, F.lit("one")), fields, spoilt("source_text", 2, F.concat(F.lit("~"), "source_text")), spoilt("missing", 3, F.array(F.lit("description"))))
+    reports = p.page_reports.withColumn("item_count", F.when(way == 4, F.col("item_count") + 1).otherwise(F.col("item_count")))
+    checked = F.col("outcome") != "not_checked"
+    checks = p.checks.withColumn("derived", F.when((way == 5) & checked, F.lit(None)).when(way == 5, F.lit(1.0)).otherwise(F.col("derived")))
+    return contract.violations(reports, items, p.refusals, checks)
+
+
+@query(
+    DRAWN
+    + """
+SELECT doc_id, 1 AS page, 'Total' AS label, CAST(sum(total) AS BIGINT) / 100.0 AS value
+FROM rows WHERE i <= 3 AND variant IN (0, 17) GROUP BY doc_id, variant
+"""
+)
+def stated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The printed totals that the checks rest on, named as a report names them."""
+    return reports.stated_totals(plan(spark, sf_dir)).join(plan(spark, sf_dir).checks.filter("outcome = 'pass'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "page", "label", "value")
+
+
+@query(
+    """
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '{' || chr(10) || '  "key": ' || o_orderkey || ',' || chr(10) || '  "price": 1.50,' || chr(10) || '  "lines": [' || chr(10) || '    "a",' || chr(10) || '    null' || chr(10) || '  ],' || chr(10) || '  "none": {}' || chr(10) || '}'
+       WHEN 1 THEN '{"key": ' || o_orderkey ELSE '[]' END AS text
+FROM orders
+"""
+)
+def pretty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON texts laid out for reading; one that isn't JSON stays as it is."""
+    key = F.col("o_orderkey").cast("string")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('{"key":'), key, F.lit(',"price":1.50,"lines":["a",null],"none":{}}'))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit('{"key": '), key)).otherwise("[ ]")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", reports.pretty_json(text).alias("text"))

@@ -125,6 +125,7 @@ MAX_DP = 10
 MAX_UPLOAD_BYTES = 4 * 1024 * 1024
 MAX_PAGES = 200
 MAX_REPLY_BYTES = 4 * 1024 * 1024
+PAGE_SECONDS = 8.0
 PDF_MARKER_WINDOW = 1024
 SPLIT_MARGIN = 0.9
 

@@ -27,6 +27,7 @@ REFUSALS = {
     "ROTATED_TEXT.all": "All the text on page {page} is printed sideways, so we skipped the page.",
     "ROTATED_TEXT.numbers": "Most of the numbers on page {page} are printed sideways, so we could misread which column they belong to. We skipped the page.",
     "PAGE_LOAD_FAILED": "Page {page} couldn't be read: our reader hit an error on this page. The other pages weren't affected.",
+    "PAGE_LOAD_FAILED.timeout": "Page {page} couldn't be read because it took too long. The other pages weren't affected.",
     "NO_TABLE_FOUND": "Page {page} has text, but we couldn't find a table of line items on it.",
     "AMBIGUOUS_COLUMNS.numbersVsHeader": "On page {page}, the numbers in {column} look like {numbers}, but its heading says {heading}. We can't tell which is right, so we didn't read the lines on this page.",
     "AMBIGUOUS_COLUMNS.sameRole": "Page {page} has {count} columns that could be the {role} ({columns}). We can't tell which is right, so we didn't read the lines on this page.",

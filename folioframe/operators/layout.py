@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -121,7 +122,7 @@ def cells_of(pieces: list[tuple[str, float, float, float]]) -> list[Cell]:
     return cells
 
 
-def lines_of(pieces: list[tuple[str, float, float, float, float]]) -> list[Line]:
+def lines_of(pieces: list[tuple[str, float, float, float, float]], tick: Callable[[], None] = lambda: None) -> list[Line]:
     """Pieces (text, x, y, width, font size) of a page, as numbered lines from the top; drawn lines are left out.
 
     A piece joins the first line whose baseline (that of its first piece) is
@@ -131,6 +132,7 @@ def lines_of(pieces: list[tuple[str, float, float, float, float]]) -> list[Line]
     sizes: list[float] = []
     members: list[list[tuple[str, float, float, float]]] = []
     for text, x, y, width, size in sorted(pieces, key=lambda p: (p[2], p[1])):
+        tick()
         at = bisect.bisect_left(baselines, y - X.ROW_TOLERANCE * size)
         while at < len(baselines) and abs(baselines[at] - y) > X.ROW_TOLERANCE * min(sizes[at], size):
             at += 1
@@ -379,7 +381,7 @@ def unspaced(columns: list[Column], cells: list[list[Cell | None]]) -> None:
                 row[p] = Cell(cell.text, cell.x0, cell.x1, [i for i, ch in enumerate(cell.text) if ch.isspace()], cell.shape, cell.start, cell.stop)
 
 
-def page_layout(lines: list[Line]) -> dict:
+def page_layout(lines: list[Line], tick: Callable[[], None] = lambda: None) -> dict:
     """The table of a page and what lies around it; see LAYOUT for the parts."""
     carried = [line for line in lines if line.has_number and CARRIED.search(matching(line.cells[0].text))]
     notes = [("carriedForwardSkipped", line.text) for line in carried]
@@ -391,6 +393,7 @@ def page_layout(lines: list[Line]) -> dict:
     found, at = [], 0
     while at < len(searched):
         if starts_body(searched[at]):
+            tick()
             run = grown(searched, at)
             head = headed(searched, run, carried)
             if is_table(run, head):
@@ -412,6 +415,7 @@ def page_layout(lines: list[Line]) -> dict:
         at = table.last + 1
         while at < len(searched):
             if starts_body(searched[at]):
+                tick()
                 later = grown(searched, at)
                 between = searched[table.last + 1 : at]
                 fits = [aligned(row.line, table.tracks, table.tolerance) for row in later.body] if joins_on(between, later, table) else [None]
@@ -447,11 +451,24 @@ def page_layout(lines: list[Line]) -> dict:
     return out
 
 
-def contained_layout(pieces: list[tuple]) -> dict:
-    """The layout of a page, or what went wrong on it: an error refuses its own page and no other."""
+class Overtime(Exception):
+    """A page took longer than it may."""
+
+
+def contained_layout(pieces: list[tuple], seconds: float = X.PAGE_SECONDS, clock: Callable[[], float] = time.monotonic) -> dict:
+    """The layout of a page, or what went wrong on it: an error or too long a time refuses its own page and no other.
+
+    The clock is read for each piece and before each run of rows is grown.
+    """
+    until = clock() + seconds
+
+    def tick() -> None:
+        if clock() > until:
+            raise Overtime(f"over {seconds:g} seconds")
+
     try:
-        return page_layout(lines_of(pieces))
-    except (ArithmeticError, AttributeError, LookupError, TypeError, ValueError) as error:
+        return page_layout(lines_of(pieces, tick), tick)
+    except (ArithmeticError, AttributeError, LookupError, Overtime, TypeError, ValueError) as error:
         return {**page_layout([]), "problem": f"{type(error).__name__}: {error}"[:200]}
 
 

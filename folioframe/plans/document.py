@@ -100,7 +100,8 @@ class DocumentPlan:
         none = F.array().cast("array<struct<page:int,source_text:string>>")
         unread = self.classified.filter("kind = 'refused'").select(*KEYS, "code", message.alias("message"), none.alias("evidence"))
         quoted = lambda lines: F.transform(lines, lambda x: F.struct(page.alias("page"), x["text"].alias("source_text")))
-        broken = self.layouts.filter("problem is not null").select(*KEYS, F.lit("PAGE_LOAD_FAILED").alias("code"), said["PAGE_LOAD_FAILED"].alias("message"), none.alias("evidence"))
+        late = F.when(F.col("problem").startswith("Overtime:"), M.refusal("PAGE_LOAD_FAILED.timeout", page=page)).otherwise(said["PAGE_LOAD_FAILED"])
+        broken = self.layouts.filter("problem is not null").select(*KEYS, F.lit("PAGE_LOAD_FAILED").alias("code"), late.alias("message"), none.alias("evidence"))
         bare = self.layouts.filter("columns is null and problem is null").join(self.classified.select(*KEYS, "image_count", "piece_count"), KEYS)
         scan = (F.col("image_count") > 0) & (F.col("piece_count") < X.MOSTLY_SCAN_PIECES)
         untabled = bare.select(
@@ -120,8 +121,12 @@ class DocumentPlan:
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        """doc_id, page, stage and problem of pages that failed: for the log, never for the reply."""
-        return self.layouts.filter("problem is not null").select(*KEYS, F.lit("layout").alias("stage"), "problem")
+        """doc_id, page, stage, cause, error_name and error_message of pages that failed: for the log, never for the reply."""
+        name, said = F.substring_index("problem", ":", 1), F.regexp_replace("problem", r"^[^:]*:\s*", "")
+        laid = self.layouts.filter("problem is not null").select(*KEYS, F.lit("layout").alias("stage"), F.when(name == "Overtime", "timeout").otherwise("error").alias("cause"), name.alias("error_name"), said.alias("error_message"))
+        none = F.lit(None).cast("string")
+        read = self.classified.filter("code = 'PAGE_LOAD_FAILED'").select(*KEYS, F.lit("read").alias("stage"), F.lit("error").alias("cause"), none.alias("error_name"), none.alias("error_message"))
+        return laid.unionByName(read)
 
     @cached_property
     def page_status(self) -> DataFrame:

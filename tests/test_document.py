@@ -266,7 +266,7 @@ def test_a_failing_page_is_contained(spark):
     found = DocumentPlan(pages, spark.createDataFrame(pieces, PIECES))
     assert {r.page: r.status for r in found.page_status.collect()} == {1: "extracted", 2: "refused", 3: "refused"}
     assert sorted((r.page, r.code) for r in found.page_refusals.collect()) == [(2, "PAGE_LOAD_FAILED"), (3, "PAGE_LOAD_FAILED")]
-    assert [(r.page, r.stage) for r in found.diagnostics.collect()] == [(2, "layout")]
+    assert sorted((r.page, r.stage, r.cause, r.error_name) for r in found.diagnostics.collect()) == [(2, "layout", "error", "TypeError"), (3, "read", "error", None)]
     assert found.line_items.count() == 3
 
 

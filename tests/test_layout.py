@@ -162,3 +162,13 @@ def test_pages_meet_whatever_the_batches(spark):
 @pytest.mark.parametrize("text,shape", [("é" * 50000, "TEXT"), ("12 " * 3000, "NUM")])
 def test_long_texts(text, shape):
     assert L.shape_of(text) == shape
+
+
+def test_a_page_that_takes_too_long_is_refused():
+    """The clock moves a second a reading; a page within its time is the same with and without a limit."""
+    pieces = [(f"w{i}", 10.0 + 40 * (i % 4), 50.0 + 17 * (i // 4), 20.0, 9.0) for i in range(40)]
+    clock = iter(range(10_000))
+    late = L.contained_layout(pieces, 8.0, lambda: next(clock))
+    assert late["problem"] == "Overtime: over 8 seconds" and late["lines"] == [] and late["columns"] is None
+    clock = iter(range(10_000))
+    assert L.contained_layout(pieces, 9_000.0, lambda: next(clock)) == L.page_layout(L.lines_of(pieces))
