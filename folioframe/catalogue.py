@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import faults_catalogue
 from .functions import lexicon as X
 from .functions import text as T
-from .operators import conflicts, contract, layout
+from .operators import conflicts, contract
 from .plans import reports
 from .plans.document import DocumentPlan, pages_per_part, run_summary
 from .plans.store import shared_dir, written
@@ -500,7 +500,7 @@ def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(LINES + "SELECT doc_id, page, CAST(count(*) AS INT) AS pieces FROM lines WHERE variant <> 9 GROUP BY doc_id, page")
 def drawn_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body rows found by the fold, counted by page: the round trip of layout without roles."""
-    return layout.lay_out(virtual_documents(spark, sf_dir)[1].filter("abs(angle) <= 5")).select("doc_id", "page", F.size("body").alias("pieces"))
+    return plan(spark, sf_dir).layouts.select("doc_id", "page", F.size("body").alias("pieces"))
 
 
 @query(

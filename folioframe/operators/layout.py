@@ -186,7 +186,9 @@ class Track:
 
     def distance(self, cell: Cell) -> float:
         """From the nearest of the cell's left, right and middle to the column's (upper) median of it."""
-        return min(abs(value - known[len(known) // 2]) for known, value in zip(self.edges, (cell.x0, cell.x1, cell.centre), strict=True))
+        lefts, rights, middles = self.edges
+        at = len(lefts) // 2
+        return min(abs(cell.x0 - lefts[at]), abs(cell.x1 - rights[at]), abs(cell.centre - middles[at]))
 
     def shared(self, cell: Cell) -> float:
         return min(cell.x1, self.high) - max(cell.x0, self.low)
@@ -196,11 +198,15 @@ def aligned(line: Line, tracks: list[Track], tolerance: float) -> list[Track | N
     """The column of each cell, None for one new column at most; no answer if the line can't be a row of the table."""
     found: list[Track | None] = []
     for cell in line.cells:
-        near = min(((t.distance(cell), i) for i, t in enumerate(tracks)), default=(float("inf"), -1))
-        if near[0] <= tolerance:
-            if tracks[near[1]] in found:
+        near, best = float("inf"), None
+        for track in tracks:
+            away = track.distance(cell)
+            if away < near:
+                near, best = away, track
+        if near <= tolerance:
+            if best in found:
                 return None
-            found.append(tracks[near[1]])
+            found.append(best)
         elif any(t.shared(cell) > 0 for t in tracks):
             return None
         else:
@@ -373,11 +379,11 @@ def unspaced(columns: list[Column], cells: list[list[Cell | None]]) -> None:
     """A number with a space that reaches into the numbers of another column may be two numbers: its spaces group nothing."""
     bands = []
     for column in columns:
-        clean = [c for c in (column.track.cells if column.track else []) if c.is_number and not any(ch.isspace() for ch in c.text)]
+        clean = [c for c in (column.track.cells if column.track else []) if c.is_number and len(c.text.split()) == 1]
         bands.append((min(c.x0 for c in clean), max(c.x1 for c in clean)) if clean else None)
     for row in cells:
         for p, cell in enumerate(row):
-            if cell and cell.is_number and any(ch.isspace() for ch in cell.text) and any(b and q != p and min(cell.x1, b[1]) > max(cell.x0, b[0]) for q, b in enumerate(bands)):
+            if cell and cell.is_number and len(cell.text.split()) > 1 and any(b and q != p and min(cell.x1, b[1]) > max(cell.x0, b[0]) for q, b in enumerate(bands)):
                 row[p] = Cell(cell.text, cell.x0, cell.x1, [i for i, ch in enumerate(cell.text) if ch.isspace()], cell.shape, cell.start, cell.stop)
 
 
