@@ -172,3 +172,28 @@ def test_a_page_that_takes_too_long_is_refused():
     assert late["problem"] == "Overtime: over 8 seconds" and late["lines"] == [] and late["columns"] is None
     clock = iter(range(10_000))
     assert L.contained_layout(pieces, 9_000.0, lambda: next(clock)) == L.page_layout(L.lines_of(pieces))
+
+
+def test_a_page_is_read_whole_when_spark_splits_skewed_joins(spark):
+    """After a join on the page Spark drops a repartition by page and may deal out the join's sides in parts."""
+    from folioframe.plans.document import DocumentPlan
+    from pyspark.sql import functions as F
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.01",
+    }
+    rows = [(d, 1, i, *piece_, 0.0) for d in range(60) for i, piece_ in enumerate(table(ROWS[:1] * (3 if d else 800)))]
+    frame = spark.createDataFrame(rows, "doc_id long, page int, ord int, str string, x double, y double, width double, font_size double, angle double").repartition(8)
+    pages = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("page"), F.lit(0).alias("image_count"), F.lit(0).alias("drawing_count"))
+    pieces = frame.join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = [[tuple(r) for r in layouts.select("doc_id", "page", F.size("lines"), F.size("body")).collect()] for layouts in (L.lay_out(pieces), DocumentPlan(pages, pieces).layouts)]
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    expected = [(d, 1, 4 if d else 801, 3 if d else 800) for d in range(60)]
+    assert [sorted(f) for f in found] == [expected, expected]
