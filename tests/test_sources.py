@@ -178,3 +178,16 @@ def test_stages_are_swept(spark, tmp_path):
     assert written(spark.range(3), "three").count() == 3 and os.path.isdir(folder)
     sweep(spark)
     assert not os.path.exists(folder)
+
+
+def test_drawn_pieces_deal_out_the_lines_once(spark, tmp_path):
+    from folioframe.sources import virtual
+
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    rows = [(o, 7, 1, n, 2.0, 10.0 + n, 0.0, 0.0, None) for o in (9, 11, 16) for n in range(1, 8)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages, pieces = virtual.virtual_documents(spark, str(tmp_path))
+    assert pieces._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    counted = {tuple(r) for r in pieces.groupBy("doc_id", "page").count().collect()}
+    assert counted == {(11, 1, 1 + 6 + 1 + 36), (11, 2, 1 + 6 + 2 + 6), (16, 1, 1 + 6 + 36), (16, 2, 1 + 6 + 6 + 2)}
+    assert {tuple(r) for r in pages.select("doc_id", "page", "image_count").collect()} == {(o, p, int(o == 9)) for o in (9, 11, 16) for p in (1, 2)}
