@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,4 +87,12 @@ def join_unique(big: DataFrame, unique: DataFrame, on: list[str], how: str = "in
     return big.join(F.broadcast(hot), on, "left_semi").join(of_hot, on, how).unionByName(rest)
 
 
+def give_back() -> None:
+    """Hand the memory that this worker has freed back to the system: it waits for tasks of other stages, beside an executor that grows."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
 LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

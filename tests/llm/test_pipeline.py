@@ -1,4 +1,11 @@
 import os
+import random
+import re
+import subprocess
+import sys
+import tracemalloc
+
+import pyarrow as pa
 
 import corpus_pipeline
 from folioframe.llm import decontaminate as D
@@ -82,6 +89,63 @@ def test_rows_that_share_an_id_or_have_none_do_not_share_a_verdict(spark, tmp_pa
     assert left(out) == left([doc(9, good[0][1])] + good[1:])
 
 
+def encoder(spark, monkeypatch):
+    """What the workers run in the last stage."""
+    found, docs = [], spark.createDataFrame([], DOCS)
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", lambda self, run, schema: found.append(run) or spark.createDataFrame([], schema))
+        corpus_pipeline.encode(spark, docs, "")
+    return found[0]
+
+
+def test_encoding_takes_little_memory(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(2000)) for _ in range(120)]
+    assert 1_200_000 < sum(map(len, texts)) < 2_000_000
+    run = encoder(spark, monkeypatch)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    list(run(iter([batch.slice(0, 1)])))  # the vocabulary stays
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2 * len(texts) and most < 100e6
+
+
+def test_chunks_of_any_size_give_the_same_rows():
+    from folioframe.llm.pieces import _chunk_rows
+
+    rows = documents()
+    pieces, ids, texts = Pieces(), pa.array([r[0] for r in rows], pa.int64()), [r[1] or "" for r in rows]
+    whole = _chunk_rows(pieces, ids, texts, 2, 0).to_pylist()
+    assert [x for i in range(len(rows)) for x in _chunk_rows(pieces, ids.slice(i, 1), texts[i : i + 1], 2, 0).to_pylist()] == whole
+
+
+GIVEN_BACK = """
+import re
+from pathlib import Path
+import numpy as np
+from folioframe.llm.common import give_back
+size = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+before, rows = size(), []
+for i in range(2000):
+    rows += [np.ones(12_000), np.ones(20)]  # 96 kB each, with something small after it that stays
+kept = rows[1::2]
+del rows
+held = size() - before
+give_back()
+print(held, size() - before)
+"""
+
+
+def test_freed_memory_goes_back_to_the_system():
+    out = subprocess.run([sys.executable, "-c", GIVEN_BACK], capture_output=True, text=True, check=True, cwd=os.path.dirname(corpus_pipeline.__file__)).stdout
+    held, left = map(float, re.findall(r"[\d.]+", out))
+    assert held > 100 and left < 30
+
+
 def test_catalogue_names():
     from folioframe.llm import oracle_sql, queries
 
