@@ -28,10 +28,9 @@ Characters without a piece of their own become byte pieces.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cached_property
-from itertools import count
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +53,12 @@ U = np.uint64
 
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
@@ -100,7 +102,8 @@ class Pieces:
         self.classes[[ord(c) for c in letters]] = np.arange(len(letters))
         self.width = len(letters) + 1
         children: list[dict[int, int]] = [{}]
-        ends = [-1]
+        ends, gains = [-1], [0.0]
+        lift = np.exp(SCALE)
         for i in normal:
             state = 0
             for c in self.text[i]:
@@ -109,10 +112,12 @@ class Pieces:
                     children[state][k] = len(children)
                     children.append({})
                     ends.append(-1)
+                    gains.append(0.0)
                 state = children[state][k]
-            ends[state] = i
+            ends[state], gains[state] = i, self.weight[i] * lift ** len(self.text[i])
         self.children = children
         self.ends = np.array(ends, np.int32)
+        self.gains = np.array(gains)  # the lifted weight of the piece that ends there, 0 for none
         # the moves, in an open hash table with linear probing
         bits = max(8, len(children).bit_length() + 3)
         self.shift = U(64 - bits)
@@ -136,9 +141,10 @@ class Pieces:
         """The next states, 0 where there is none."""
         keys = state.astype(np.int64) * self.width + letter
         slot = self._slots(keys)
-        found = self.move_keys[slot]
-        out = np.where(found == keys, self.move_to[slot], 0)
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        found = self.move_keys.take(slot)
+        hit = found == keys
+        out = self.move_to.take(slot) * hit
+        open_ = np.flatnonzero(~hit & (found >= 0))
         while len(open_):
             slot[open_] += 1
             found = self.move_keys[slot[open_]]
@@ -147,6 +153,10 @@ class Pieces:
             open_ = open_[~hit & (found >= 0)]
         return out
 
+    @cached_property
+    def outputs(self) -> pa.LargeBinaryArray:
+        return pa.array(self.output, pa.large_binary())
+
     @cached_property
     def byte_of(self) -> dict[str, np.ndarray]:
         return {}
@@ -162,6 +172,17 @@ class Pieces:
         raw = b"".join(map(self.output.__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "surrogatepass")
 
+    def decodes_to(self, ids: list[np.ndarray], raws: list[bytes]) -> list[bool]:
+        """Whether each row of ids decodes to the text with the given UTF-8, all rows together."""
+        if not ids:
+            return []
+        joined = self.outputs.take(pa.array(np.concatenate(ids)))
+        offsets = np.frombuffer(joined.buffers()[1], np.int64)
+        bounds = offsets[np.cumsum([0] + [len(x) for x in ids])].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        own = (data[begin:end].tobytes() for begin, end in zip(bounds[:-1], bounds[1:], strict=True))
+        return [(x[1:] if x[:1] == b" " else x) == raw for x, raw in zip(own, raws, strict=True)]
+
     def decode_any(self, ids: list[int | None]) -> tuple[str, bool]:
         """The text of any row of ids, and whether some of it had to be left out or replaced."""
         known = [i for i in ids if i is not None and 0 <= i < len(self.output)]
@@ -189,35 +210,61 @@ def cells_of(text: str) -> list[str]:
     return CELL.findall(SPACE + marked.replace(" ", SPACE))
 
 
+def cut(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``cells_of`` for all texts together, given as UTF-8.
+
+    Returns the number of cells of each text, the distinct cell at each place,
+    and the code points of the distinct cells, one after another, with their lengths.
+    """
+    data = b"".join([b" " + raw for raw in raws if raw])
+    if not data:
+        return np.zeros(len(raws), np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    bounds = np.cumsum([0] + [len(raw) + 1 if raw else 0 for raw in raws])
+    byte = np.frombuffer(data, np.uint8)
+    space, feed = byte == 0x20, byte == 0x0A
+    begins = feed.copy()
+    begins[1:] |= feed[:-1]
+    begins[1:] |= space[1:] & ~space[:-1]
+    begins[bounds[:-1][np.diff(bounds) > 0]] = True
+    offsets = np.append(np.flatnonzero(begins), len(data))
+    counts = np.diff(np.searchsorted(offsets[:-1], bounds))
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    distinct = every.dictionary
+    begin = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
+    data = distinct.buffers()[2].to_pybytes()[: begin[-1]]
+    lengths = np.add.reduceat((np.frombuffer(data, np.uint8) & 0xC0) != 0x80, begin[:-1], dtype=np.int64)
+    points = np.frombuffer(data.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    points[points == ord(SPACE)] = ord(LITERAL)
+    points[points == 0x20] = ord(SPACE)
+    return counts, every.indices.to_numpy().astype(np.int64), points, lengths
+
+
 class Lattice:
     """The edges of all distinct cells of a chunk, sorted by node, longest first.
 
     A node is a cell and the number r of characters still to be covered.
     """
 
-    def __init__(self, pieces: Pieces, cells: list[str]) -> None:
+    def __init__(self, pieces: Pieces, points: np.ndarray, lengths: np.ndarray) -> None:
         self.pieces = pieces
-        lengths = np.fromiter(map(len, cells), np.int64, len(cells))
+        cell_stops = np.cumsum(lengths)
         order = np.argsort(-lengths, kind="stable")
         long = int((lengths > SHORT).sum())
         self.lengths = lengths
-        self.rank = np.empty(len(cells), np.int64)
-        self.rank[order[long:]] = np.arange(len(cells) - long)
-        self.long_base = np.full(len(cells), -1, np.int64)
+        self.rank = np.empty(len(lengths), np.int64)
+        self.rank[order[long:]] = np.arange(len(lengths) - long)
+        self.long_base = np.full(len(lengths), -1, np.int64)
         self.any_long = long > 0
         short = order[long:]
         sizes = lengths[short]
         most = int(sizes[0]) if len(short) else 0
         counts = [int(np.searchsorted(-sizes, -r, "right")) for r in range(most + 1)]
         self.base = np.concatenate(([0, 0], np.cumsum(counts[1:]))) if most else np.zeros(2, np.int64)
-        # the code points of the short cells, longest cell first; characters r from the end
-        points = np.frombuffer("".join([cells[i] for i in short]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        stops = np.cumsum(sizes)
+        stops = cell_stops[short]  # in the code points, longest cell first; characters r from the end
         self.extra: list[np.ndarray] = []  # ids of byte edges of several bytes
         node_parts, edge_piece, edge_step, edge_weight = [], [], [], []
         beta = [np.ones(len(short))]
         chars: list[np.ndarray] = [np.zeros(0, np.int32)]
-        lift = np.exp(SCALE)
         for r in range(1, most + 1):
             n = counts[r]
             code = points[stops[:n] - r]
@@ -228,18 +275,18 @@ class Lattice:
             state = pieces.first[chars[r]]
             for step in range(1, min(r, pieces.longest) + 1):
                 if step > 1:
-                    state = pieces.moved(state, chars[r - step + 1][at])
-                live = state > 0
-                at, state = at[live], state[live]
+                    state = pieces.moved(state, chars[r - step + 1].take(at))
+                live = np.flatnonzero(state)
+                at, state = at.take(live), state.take(live)
                 if not len(at):
                     break
-                piece = pieces.ends[state]
-                is_end = piece >= 0
-                if is_end.any():
-                    where, piece = at[is_end], piece[is_end]
-                    value = pieces.weight[piece] * lift**step * beta[r - step][where]
+                gain = pieces.gains.take(state)
+                is_end = np.flatnonzero(gain)
+                if len(is_end):
+                    where = at.take(is_end)
+                    value = gain.take(is_end) * beta[r - step].take(where)
                     total[where] += value
-                    found.append((where, piece, step, value))
+                    found.append((where, pieces.ends.take(state.take(is_end)), step, value))
             single = np.zeros(n, bool)
             for where, _, step, _ in found:
                 if step == 1:
@@ -260,16 +307,17 @@ class Lattice:
         nodes = int(self.base[most + 1]) if most else 0
         for i in order[:long]:
             self.long_base[i] = nodes
-            for node, piece, step, share in self._long_cell(cells[i], nodes):
+            cell = "".join(map(chr, points[cell_stops[i] - lengths[i] : cell_stops[i]].tolist()))
+            for node, piece, step, share in self._long_cell(cell, nodes):
                 node_parts.append(node)
                 edge_piece.append(piece)
                 edge_step.append(step)
                 edge_weight.append(share)
-            nodes += len(cells[i])
+            nodes += len(cell)
         if not node_parts:
             node_parts, edge_piece, edge_step, edge_weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         node = np.concatenate(node_parts)
-        self.edge_piece = np.concatenate(edge_piece).astype(np.int64)
+        self.edge_piece = np.concatenate(edge_piece).astype(np.int32)
         self.edge_step = np.concatenate(edge_step)
         self.share = np.concatenate(edge_weight)
         self.start = np.concatenate(([0], np.cumsum(np.bincount(node, minlength=nodes))))
@@ -330,14 +378,16 @@ class Lattice:
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each node, in proportion to the mass behind it."""
-        edge = self.start[node].copy()
-        last = self.start[node + 1] - 1
-        rest = u - self.share[edge]
-        at = np.flatnonzero((rest > 0) & (edge < last))
-        while len(at):
-            edge[at] += 1
-            rest[at] -= self.share[edge[at]]
-            at = at[(rest[at] > 0) & (edge[at] < last[at])]
+        edge = self.start.take(node)
+        last = self.start.take(node + 1) - 1
+        rest = u - self.share.take(edge)
+        at, now = np.arange(len(edge)), edge
+        more = np.flatnonzero((rest > 0) & (now < last))
+        while len(more):
+            at, now, last, rest = at.take(more), now.take(more) + 1, last.take(more), rest.take(more)
+            edge[at] = now
+            rest -= self.share.take(now)
+            more = np.flatnonzero((rest > 0) & (now < last))
         return edge
 
     def walk(self, cell: np.ndarray, left: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -346,7 +396,7 @@ class Lattice:
         Returns, in order, the place in ``cell`` of each step, its node, its
         edge and the characters left before it.
         """
-        places, nodes, edges, lefts, steps = [], [], [], [], []
+        drawn = []
         at = np.flatnonzero(left > 0)
         left = left[at].astype(np.int64)
         cells, keys = cell[at], key[at]
@@ -354,21 +404,18 @@ class Lattice:
         while len(at):
             node = self.node(cells, left)
             edge = self.draw(node, uniform(mixed(keys ^ left.astype(U))))
-            places.append(at)
-            nodes.append(node)
-            edges.append(edge)
-            lefts.append(left)
-            steps.append(count[at])
-            count[at] += 1
-            left = left - self.edge_step[edge]
-            more = left > 0
-            at, left, cells, keys = at[more], left[more], cells[more], keys[more]
+            drawn.append((at, node, edge, left))
+            count[at] = len(drawn)
+            left = left - self.edge_step.take(edge)
+            more = np.flatnonzero(left)
+            at, left, cells, keys = at.take(more), left.take(more), cells.take(more), keys.take(more)
         offset = np.cumsum(count) - count
         total = int(count.sum())
         out = tuple(np.empty(total, np.int64) for _ in range(4))
-        for p, n, e, r, s in zip(places, nodes, edges, lefts, steps, strict=True):
-            slot = offset[p] + s
-            out[0][slot], out[1][slot], out[2][slot], out[3][slot] = p, n, e, r
+        for step, parts in enumerate(drawn):
+            slot = offset.take(parts[0]) + step
+            for whole, part in zip(out, parts, strict=True):
+                whole[slot] = part
         return out
 
 
@@ -393,17 +440,13 @@ class Paths:
 class Sampler:
     """Draws ``samples`` segmentations of each text of a chunk."""
 
-    def __init__(self, pieces: Pieces, texts: list[str], seeds: list[int], samples: int) -> None:
+    def __init__(self, pieces: Pieces, raws: list[bytes], seeds: list[int], samples: int) -> None:
         self.pieces, self.samples = pieces, samples
-        cells = [cells_of(t) for t in texts]
-        every = [c for own in cells for c in own]
-        index: dict[str, int] = defaultdict(count().__next__)
-        self.cell = np.fromiter(map(index.__getitem__, every), np.int64, len(every))
-        self.lattice = Lattice(pieces, list(index))
-        self.n_cells = np.array([len(own) for own in cells], np.int64)
+        self.n_cells, self.cell, points, lengths = cut(raws)
+        self.lattice = Lattice(pieces, points, lengths)
         self.first = np.cumsum(self.n_cells) - self.n_cells
-        self.doc = np.repeat(np.arange(len(texts)), self.n_cells)
-        self.number = np.arange(len(every)) - self.first[self.doc] if len(every) else np.zeros(0, np.int64)
+        self.doc = np.repeat(np.arange(len(raws)), self.n_cells)
+        self.number = np.arange(len(self.cell)) - self.first[self.doc] if len(self.cell) else np.zeros(0, np.int64)
         self.seeds = np.array(seeds, U)
 
     def _keys(self, rank: int, places: np.ndarray, salt: int) -> np.ndarray:
@@ -561,11 +604,24 @@ class Sampler:
         short = np.searchsorted(lat.base[1:], node, "right")
         return np.where(lat.long_base[cell] >= 0, node - lat.long_base[cell] + 1, short) if lat.any_long else short
 
-    def ids(self, edges: np.ndarray) -> np.ndarray:
-        found = self.lattice.edge_piece[edges]
-        if len(found) and found.min() < 0:
-            found = np.concatenate([self.lattice.extra[-v - 1] if v < 0 else np.array([v]) for v in found.tolist()])
-        return found.astype(np.int32)
+    def ids(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """The ids of each path, given by its edges."""
+        if not paths:
+            return []
+        found = self.lattice.edge_piece[np.concatenate(paths)]
+        stops = np.cumsum([len(p) for p in paths])
+        several = np.flatnonzero(found < 0)
+        if len(several):
+            extra = self.lattice.extra
+            sizes = np.ones(len(found), np.int64)
+            sizes[several] = np.array([len(x) for x in extra])[-1 - found[several]]
+            ends = np.cumsum(sizes)
+            which, found = found[several], np.repeat(found, sizes)
+            for note in np.unique(which).tolist():
+                own = extra[-1 - note]
+                found[(ends[several[which == note]] - len(own))[:, None] + np.arange(len(own))] = own
+            stops = np.concatenate(([0], ends))[stops]
+        return np.split(found, stops[:-1])
 
 
 def inclusion(log_prob: np.ndarray, next_value: np.ndarray) -> np.ndarray:
@@ -579,7 +635,8 @@ def inclusion(log_prob: np.ndarray, next_value: np.ndarray) -> np.ndarray:
 
 def sample_chunk(pieces: Pieces, keys: list[object], texts: list[str], samples: int, seed: int) -> list[tuple]:
     """(place in the chunk, rank, ids, log-probability, perturbed value, inclusion, whether it decodes to the text)."""
-    sampler = Sampler(pieces, texts, [row_seed(k, t, seed) for k, t in zip(keys, texts, strict=True)], samples)
+    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sampler = Sampler(pieces, raws, [row_seed(k, t, seed) for k, t in zip(keys, texts, strict=True)], samples)
     rounds = list(sampler.run())
     last = np.full(len(texts), -np.inf)
     for _, live, _, _, _, following in rounds:
@@ -588,10 +645,9 @@ def sample_chunk(pieces: Pieces, keys: list[object], texts: list[str], samples:
     last[drawn < samples] = -np.inf  # all segmentations came out
     out = []
     for rank, live, full, end, value, _ in rounds:
-        scores = inclusion(end, last[live])
-        for i, d in enumerate(live.tolist()):
-            ids = sampler.ids(full[i])
-            out.append((d, rank + 1, ids, round(float(end[i]), 9), round(float(value[i]), 9), round(float(scores[i]), 9), pieces.decode(ids.tolist()) == texts[d]))
+        ids, docs = sampler.ids(full), live.tolist()
+        scores = (map(round, x.tolist(), repeat(9)) for x in (end, value, inclusion(end, last[live])))
+        out += zip(docs, repeat(rank + 1), ids, *scores, pieces.decodes_to(ids, [raws[d] for d in docs]))
     out.sort(key=lambda row: row[:2])
     return out
 
